@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from timegrid.llm import lines, packing, sharding
+from timegrid.llm import langid, lines, packing, quality, rules, sharding
 from timegrid.llm.common import table
 
 SHARDS = 40
@@ -18,10 +18,23 @@ def op1_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
 
+def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op6_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rules.judge(table(spark, sf_dir, "documents"), rules.trusted_ids(table(spark, sf_dir, "labels")))
+    return out.toDF("doc_id", *rules.NAMES)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digests(table(spark, sf_dir, "documents"))
 
