@@ -27,12 +27,14 @@ PLAIN = r"[\x21-\x3b\x3d-\x7e\xc0-\xff]+"
 
 
 class TokenIds(dict):
-    """word -> its token ids as little-endian 32-bit bytes. Holds `limit` words, and twice as many pieces of words, at most.
+    """word -> its token ids as little-endian 32-bit bytes.
 
     The tokenizer splits at white space and normalises no character across it, so a text's ids are those of its words.
+    Holds the words, and the pieces of words, that were used last: two generations of `limit` words and of `limit * 5 // 3`
+    pieces, some 300 MB, at most. A generation that is full becomes the old one, whose entries come back when used.
     """
 
-    limit = 200_000
+    limit = 300_000
 
     def __init__(self, path: str):
         import tokenizers
@@ -40,6 +42,8 @@ class TokenIds(dict):
         super().__init__()
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.pieces: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
         self.split, self.plain = re.compile(PIECE).findall, re.compile(PLAIN).fullmatch
 
     def _encode(self, word: str) -> bytes:
@@ -50,14 +54,18 @@ class TokenIds(dict):
 
     def _piece(self, piece: str) -> bytes:
         if (out := self.pieces.get(piece)) is None:
-            if len(self.pieces) >= 2 * self.limit:
-                self.pieces.clear()
-            out = self.pieces[piece] = self._encode(piece)
+            if (out := self.old_pieces.get(piece)) is None:
+                out = self._encode(piece)
+            if len(self.pieces) >= self.limit * 5 // 3:
+                self.old_pieces, self.pieces = self.pieces, {}
+            self.pieces[piece] = out
         return out
 
     def __missing__(self, word: str) -> bytes:
-        out = b"".join(map(self._piece, self.split(word.lower()))) if self.plain(word) else self._encode(word)
+        if (out := self.old.get(word)) is None:
+            out = b"".join(map(self._piece, self.split(word.lower()))) if self.plain(word) else self._encode(word)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
         self[word] = out
         return out
