@@ -51,11 +51,12 @@ def _counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     """log p(bucket | trusted) / p(bucket | raw) for each of 2^BITS buckets, counted over all documents.
 
-    trusted: a column doc_id. Counts add up per partition before a shuffle of at most 2^BITS rows from each; the driver
+    trusted: a column doc_id, which may grow with the corpus; so both sides are always shuffled by id, never broadcast.
+    Counts add up per partition before a shuffle of at most 2^BITS rows from each; the driver
     gets 2^BITS sums, whatever the corpus. Raw counts are scaled to the trusted total, then both are smoothed alike.
     """
     flag = trusted.select(F.col("doc_id").alias("id_")).dropna().distinct().withColumn("trusted_", F.lit(True))
-    rows = docs.select(F.col("doc_id").alias("id_"), "text").join(flag, "id_", "left").select("text", "trusted_")
+    rows = docs.select(F.col("doc_id").alias("id_"), "text").join(flag.hint("merge"), "id_", "left").select("text", "trusted_")
     sums = rows.mapInArrow(_counts, "bucket long, raw long, target long").groupBy("bucket")
     got = sums.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.zeros(1 << BITS), np.zeros(1 << BITS)
