@@ -95,16 +95,25 @@ class WordHashes(dict):
 
     limit = 150_000
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str | bytes) -> int:
         if len(self) >= self.limit:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
 
-    def of(self, words: Sequence[str]) -> np.ndarray:
+    def of(self, words: Sequence[str | bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: ASCII letters in lower case, digits, _ and the bytes of other characters stay; everything else parts words.
+_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
+
+
+def plain_words(text: str | None) -> list[bytes]:
+    """Words for comparing texts: runs of letters, digits and _ in UTF-8; A-Z are lower-cased, ASCII punctuation parts."""
+    return text.encode().translate(_WORDS).split() if text else []
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that changes about half of the bits (the splitmix finaliser)."""
     x = (x ^ (x >> np.uint64(30))) * MIX1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from timegrid.llm import langid, lines, packing, quality, rules, sharding
+from timegrid.llm import langid, lines, omh, packing, quality, rules, sharding
 from timegrid.llm.common import table
 
 SHARDS = 40
@@ -26,6 +26,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return omh.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
