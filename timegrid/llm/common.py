@@ -105,13 +105,13 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-#: ASCII letters in lower case, digits, _ and the bytes of other characters stay; everything else parts words.
-_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
+#: ASCII letters, digits, _ and the bytes of other characters stay; everything else parts words.
+_WORDS = bytes(c if c >= 128 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
 
 
 def plain_words(text: str | None) -> list[bytes]:
-    """Words for comparing texts: runs of letters, digits and _ in UTF-8; A-Z are lower-cased, ASCII punctuation parts."""
-    return text.encode().translate(_WORDS).split() if text else []
+    """Words for comparing texts: runs of letters, digits and _ in lower case, in UTF-8; ASCII punctuation parts them."""
+    return text.lower().encode().translate(_WORDS).split() if text else []
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
