@@ -8,17 +8,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timegrid.llm.common import MULT, chunks, drop_staged, mixed, new_path, staged
+from timegrid.llm.blocks import BLOCK_BYTES, copies, exchange, marks, replied, rows_of, sent, split, stage, with_answers
+from timegrid.llm.common import MULT, mixed
 
 LENGTH = 200
 #: A difference cover: any two numbers are brought to members of it, modulo the period, by adding one same number.
 COVER, PERIOD = (1, 2, 4, 13, 21, 35, 39, 82, 89, 95, 105, 110), 133
-BLOCK_BYTES = 2 << 20
 #: Suffixes of a bucket, about, if no suffix were pruned; a bucket is sorted in memory.
 BUCKET_ROWS = 8 << 20
 
@@ -53,22 +51,6 @@ class Hashes:
         return (self.sums[at + length] - self.sums[at]) * self.inverse[at]
 
 
-def _blocks(it: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Rows of many documents each: (block, doc_ids, sizes, digests, data)."""
-    first, n = TaskContext.get().partitionId() << 33, 0
-    for batch in chunks(it, limit=block_bytes):
-        texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-        cols = [
-            pa.array([first + n], pa.int64()),
-            pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-            pa.array([[len(t) for t in texts]], pa.list_(pa.int64())),
-            pa.array([[xxhash.xxh3_128_digest(t) for t in texts]], pa.list_(pa.binary())),
-            pa.array([b"".join(texts)], pa.binary()),
-        ]
-        n += 1
-        yield pa.record_batch(cols, names=["block", "doc_ids", "sizes", "digests", "data"])
-
-
 @dataclass
 class Block:
     """A block's bytes, and what is known of its documents. A later exact copy of a text takes no part in the search."""
@@ -110,20 +92,6 @@ class Block:
         return mixed(self.hashes.of(at, self.length)), ((other * np.uint32(0x85EBCA6B)) >> np.uint32(16)).astype(np.uint16)
 
 
-def _split(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's part of the sorted 64-bit keys begins, and the end."""
-    bounds = np.array([-(-(b << 64) // buckets) for b in range(1, buckets)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
-
-
-def _replied(sent: np.ndarray, first: np.ndarray, replies: list[dict] | None) -> np.ndarray:
-    out = np.zeros(len(sent), bool)
-    for r in replies or ():
-        lo, hi = first[r["bucket"]], first[r["bucket"] + 1]
-        out[lo:hi] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=hi - lo).astype(bool)
-    return out
-
-
 class Search:
     """What is done with each block, in three passes: name the sample, name the survivors, remove what is repeated."""
 
@@ -147,31 +115,31 @@ class Search:
 
     def _survivors(self, block: Block, replies: list[dict] | None) -> tuple:
         at, keys, inverse, n, first = self._samples(block)
-        repeated = ((n > 1) | _replied(keys, first, replies))[inverse]
+        repeated = ((n > 1) | replied(keys, first, replies))[inverse]
         at = block.survivors(at, repeated)
         key, check = block.names(at)
         keys, where, inverse, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
         # equal names with other checks: kept apart by treating them as not repeated here; the bucket decides
         n = np.where(np.bincount(inverse, check[where][inverse] != check, minlength=len(keys)) > 0, 1, n)
-        return at, keys, check[where], inverse, n, _split(keys, self.buckets)
+        return at, keys, check[where], inverse, n, split(keys, self.buckets)
 
     def send_samples(self, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(it):
+        for row in rows_of(it):
             _, keys, _, _, first = self._samples(self._read(row))
             low = (keys & np.uint64(0xFFFFFFFF)).astype("<u4")
-            yield _sent(row["block"], [low[first[b] : first[b + 1]].tobytes() for b in range(self.buckets)], None)
+            yield sent(row["block"], [low[first[b] : first[b + 1]].tobytes() for b in range(self.buckets)], None)
 
     def send_survivors(self, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(it):
+        for row in rows_of(it):
             _, keys, check, _, _, first = self._survivors(self._read(row), row["samples"])
             parts = [slice(first[b], first[b + 1]) for b in range(self.buckets)]
-            yield _sent(row["block"], [keys[p].astype("<u8").tobytes() for p in parts], [check[p].astype("<u2").tobytes() for p in parts])
+            yield sent(row["block"], [keys[p].astype("<u8").tobytes() for p in parts], [check[p].astype("<u2").tobytes() for p in parts])
 
     def removed(self, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(it):
+        for row in rows_of(it):
             block = self._read(row)
             at, keys, _, inverse, n, first = self._survivors(block, row["samples"])
-            at = at[((n > 1) | _replied(keys, first, row["survivors"]))[inverse]]
+            at = at[((n > 1) | replied(keys, first, row["survivors"]))[inverse]]
             edge = np.zeros(len(block.data) + 1, np.int32)
             np.add.at(edge, at, 1)
             np.add.at(edge, at + self.length, -1)
@@ -191,38 +159,6 @@ class Search:
             yield pa.record_batch(cols, names=["doc_id", "n_bytes", "starts", "ends", "kept"])
 
 
-def _rows(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in it:
-        for i in range(batch.num_rows):
-            yield batch.slice(i, 1).to_pylist()[0]
-
-
-def _sent(block: int, keys: list[bytes], checks: list[bytes] | None) -> pa.RecordBatch:
-    some = [b for b, k in enumerate(keys) if k]
-    cols = [pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([keys[b] for b in some], pa.binary())]
-    cols.append(pa.array([checks[b] if checks else None for b in some], pa.binary()))
-    return pa.record_batch(cols, names=["bucket", "block", "keys", "checks"])
-
-
-def _sort_bucket(table: pa.Table, kind: str) -> pa.Table:
-    """For each block that sent keys to this bucket, a bit for each key: whether another block sent it too."""
-    keys = np.concatenate([np.frombuffer(k, kind) for k in table["keys"].to_pylist()])
-    checks = table["checks"].to_pylist()
-    checks = np.concatenate([np.frombuffer(c, "<u2") for c in checks]) if checks[0] is not None else np.zeros(len(keys), np.uint16)
-    order = np.argsort(keys, kind="stable")
-    same = keys[order[1:]] == keys[order[:-1]]
-    if (checks[order[1:]] != checks[order[:-1]])[same].any():
-        order = np.lexsort((checks, keys))
-        same = (keys[order[1:]] == keys[order[:-1]]) & (checks[order[1:]] == checks[order[:-1]])
-    found = np.zeros(len(keys), bool)
-    found[order[1:][same]] = found[order[:-1][same]] = True
-    size = np.array([len(k) for k in table["keys"].to_pylist()]) // np.dtype(kind).itemsize
-    parts = np.split(found, np.cumsum(size)[:-1])
-    some = [i for i, p in enumerate(parts) if p.any()]
-    cols = [table["bucket"].take(some), table["block"].take(some), pa.array([np.packbits(parts[i]).tobytes() for i in some], pa.binary())]
-    return pa.table(cols, names=["bucket", "block", "bits"])
-
-
 def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(doc_id, n_bytes, starts, ends, kept) of each row: its text without bytes of substrings that occur elsewhere.
 
@@ -241,42 +177,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
     """
     if length < PERIOD + 32:
         raise ValueError(f"length must be {PERIOD + 32} or more")
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "block long, doc_ids array<long>, sizes array<long>, digests array<binary>, data binary"
-    path = new_path(spark, "blocks")
-    name = "timegrid_blocks_" + path[-32:]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made = rows.mapInArrow(lambda it: _blocks(it, block_bytes), schema)
-    made.write.bucketBy(parts, "block").option("path", path).option("compression", "zstd").saveAsTable(name)
-    blocks = spark.table(name)
-
-    total = blocks.select(F.explode("sizes").alias("n")).agg(F.sum("n")).first()[0] or 0
+    blocks, total = stage(docs, block_bytes)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     search = Search(length, max(parts, 1 + total // bucket_rows))
-    texts = blocks.select("block", F.posexplode("digests").alias("at", "digest"), "sizes")
-    texts = texts.filter(F.element_at("sizes", F.col("at") + 1) >= length).select("block", "at", "digest")
-    texts = staged(texts, "digests")
-    first = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("block", "at")).alias("lead")).filter("n > 1")
-    copies = texts.join(first.select("digest", "lead"), "digest")
-    copies = copies.select("block", F.struct("at", ((F.col("lead.block") == F.col("block")) & (F.col("lead.at") == F.col("at"))).alias("first")).alias("c"))
-    copies = staged(copies.groupBy("block").agg(F.collect_list("c").alias("copies")), "copies")
-    drop_staged(texts)
-
-    sent = "bucket int, block long, keys binary, checks binary"
-    back = "bucket int, block long, bits binary"
-
-    def sort(sending: DataFrame, kind: str, into: str) -> DataFrame:
-        found = sending.groupBy("bucket").applyInArrow(lambda t: _sort_bucket(t, kind), back)
-        found = staged(found.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias(into)), into)
-        del sending
-        spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of the buckets just sorted
-        return found
-
-    read = blocks.select("block", "doc_ids", "sizes", "data").join(copies.hint("merge"), "block", "left")
-    samples = sort(read.mapInArrow(search.send_samples, sent), "<u4", "samples")
-    read = read.join(samples.hint("merge"), "block", "left")
-    survivors = sort(read.mapInArrow(search.send_survivors, sent), "<u8", "survivors")
-    read = read.join(survivors.hint("merge"), "block", "left")
+    read = with_answers(blocks.select("block", "doc_ids", "sizes", "data"), marks(copies(blocks, length)))
+    read = with_answers(read, exchange(read, search.send_samples, "<u4", "samples"))
+    read = with_answers(read, exchange(read, search.send_survivors, "<u8", "survivors"))
     return read.mapInArrow(search.removed, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")
 
 
