@@ -93,7 +93,7 @@ def chunks(it: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUN
 class WordHashes(dict):
     """word -> its 64-bit hash, kept for the words seen lately; `limit` words at most."""
 
-    limit = 150_000
+    limit = 100_000
 
     def __missing__(self, word: str | bytes) -> int:
         if len(self) >= self.limit:

@@ -190,5 +190,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 
     number = docs.withColumn("doc_id", identity()).select("doc_id", "text")
     bad = staged(leaks(number, benchmark, threshold).select(F.col("doc_id").alias("id_")).distinct(), "leaks")
-    rows = docs.withColumn("id_", identity()).join(bad, "id_", "left_anti")
+    rows = docs.withColumn("id_", identity()).join(bad.hint("merge"), "id_", "left_anti")
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

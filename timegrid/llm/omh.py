@@ -149,7 +149,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     pairs = shared.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_pairs, "a long, b long, star boolean")
     pairs = staged(pairs.groupBy("a", "b").agg(F.max("star").alias("star")), "pairs")
     some = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    words = staged(rows.join(some, "id", "left_semi").mapInArrow(_as_words, "id long, words binary"), "words")
+    # these ids grow with the corpus, so they are never broadcast
+    words = staged(rows.join(some.hint("merge"), "id", "left_semi").mapInArrow(_as_words, "id long, words binary"), "words")
     words = words.dropDuplicates(["id"])
 
     stars = _verified(pairs.filter("star"), words, least)
@@ -179,6 +180,6 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """docs (same columns) with one row of each class of near-copies: one that has its smallest doc_id."""
-    first = classes(docs, least).filter("id = class").select(F.col("id").alias("id_"))
+    first = classes(docs, least).filter("id = class").select(F.col("id").alias("id_")).hint("merge")
     rows = docs.withColumn("id_", identity()).join(first, "id_", "left_semi").dropDuplicates(["id_"])
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
