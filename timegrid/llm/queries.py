@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from timegrid.llm import decontam, langid, lines, omh, packing, quality, rules, sharding, suffix
+from timegrid.llm import decontam, langid, lines, omh, packing, quality, rules, sharding, suffix, windows
 from timegrid.llm.common import table
 
 SHARDS = 40
@@ -30,6 +30,10 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return omh.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op5_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.near_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
