@@ -102,7 +102,7 @@ def encode_cells(rgb: np.ndarray, palette: np.ndarray, block: int = 1024) -> tup
         norm = (line**2).sum(1)
         mix = ((linear(sub[part]) - light[i][:, None]) * line[:, None]).sum(-1) / np.where(norm == 0, 1, norm)[:, None]
         on = np.clip(mix, 0, 1) > thr[part]
-        swap = on[:, -1]
+        swap = on[:, -1].copy()
         on ^= swap[:, None]
         out[0][part] = (on[:, :-1] << np.arange(5)).sum(1)
         out[1][part], out[2][part] = np.where(swap, i, j), np.where(swap, j, i)

@@ -358,10 +358,10 @@ def colour_math(t):
     return t("events").select("event_id", *[F.round(lab[k], 5).alias(f"ok_{k}") for k in ("l", "a", "b")])
 
 
-@query("noise_threshold", "SELECT event_id, round(v - floor(v), 6) AS threshold FROM (SELECT event_id, 52.9829189 * (u - floor(u)) AS v FROM (SELECT event_id, 0.06711056 * (event_id % 82) + 0.00583715 * (event_id // 82) AS u FROM events))")
+@query("noise_threshold", "SELECT event_id, round(v - floor(v), 4) AS threshold FROM (SELECT event_id, 52.9829189::DOUBLE * (u - floor(u)) AS v FROM (SELECT event_id, 0.06711056::DOUBLE * (event_id % 82) + 0.00583715::DOUBLE * (event_id // 82) AS u FROM events))")
 def noise_threshold(t):
     i = F.col("event_id")
-    return t("events").select("event_id", F.round(S.noise(i % 82, F.floor(i / 82)), 6).alias("threshold"))
+    return t("events").select("event_id", F.round(S.noise(i % 82, F.floor(i / 82)), 4).alias("threshold"))
 
 
 @query("byte_reader", "SELECT page_id, ascii(url) + 256 * ascii(substr(url, 2)) + 65536 * ascii(substr(url, 3)) AS value FROM pages")

@@ -123,7 +123,7 @@ class ChunkReader(DataSourceReader):
     def pushFilters(self, filters):
         for f in filters:
             taken = False
-            if getattr(f, "attribute", None) == ("pts",) and isinstance(f.value, int):
+            if getattr(f, "attribute", None) == ("pts",) and isinstance(getattr(f, "value", None), int):
                 taken = True
                 if isinstance(f, GreaterThanOrEqual):
                     self.least = max(self.least, f.value)
