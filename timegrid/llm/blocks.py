@@ -80,8 +80,8 @@ def _sort_bucket(table: pa.Table, kind: str) -> pa.Table:
     found[order[1:][same]] = found[order[:-1][same]] = True
     size = np.array([len(k) for k in table["keys"].to_pylist()]) // np.dtype(kind).itemsize
     parts = np.split(found, np.cumsum(size)[:-1])
-    some = [i for i, p in enumerate(parts) if p.any()]
-    cols = [table["bucket"].take(some), table["block"].take(some), pa.array([np.packbits(parts[i]).tobytes() for i in some], pa.binary())]
+    some = pa.array([i for i, p in enumerate(parts) if p.any()], pa.int64())
+    cols = [table["bucket"].take(some), table["block"].take(some), pa.array([np.packbits(parts[i]).tobytes() for i in some.to_pylist()], pa.binary())]
     return pa.table(cols, names=["bucket", "block", "bits"])
 
 

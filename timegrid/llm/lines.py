@@ -106,7 +106,10 @@ def _repeats(docs: DataFrame, batches: int) -> DataFrame:
     """(doc, gone): the keys that a document loses."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text")
-    cuts = sorted(set(docs.stat.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) or []))
+    cuts = []
+    if batches > 1:
+        cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [i / batches for i in range(1, batches)], 1000)).first()[0]
+        cuts = sorted(set(cuts or []))
     keys = rows.mapInArrow(_line_keys, "doc long, key binary")
     batch = reduce(lambda a, c: a + (F.col("doc") > F.lit(int(c))).cast("int"), cuts, F.lit(0))
     keys = staged(keys.withColumn("batch", batch), "keys", ["batch"])
