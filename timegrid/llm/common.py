@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +39,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/timegrid-{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """df, written once as Parquet to the shared folder and read again: lineage ends there, nothing is computed twice."""
+@contextmanager
+def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """While this holds, at most so many rows go to Python at a time: few if they are long. None: as the session has it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        if rows:
+            spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+#: Rows of texts that go to Python at a time.
+TEXTS = 1000
+
+
+def staged(df: DataFrame, name: str, partition_by: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+    """df, written once as Parquet to the shared folder and read again: lineage ends there, nothing is computed twice.
+
+    rows: how many go to Python at a time meanwhile."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.partitionBy(*partition_by).parquet(path)
+    with batches_of(spark, rows):
+        df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -88,6 +109,7 @@ def chunks(it: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUN
             to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()
 
 
 class WordHashes(dict):
@@ -107,11 +129,19 @@ class WordHashes(dict):
 
 #: ASCII letters, digits, _ and the bytes of other characters stay; everything else parts words.
 _WORDS = bytes(c if c >= 128 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
+_ASCII = bytes(c + 32 if 65 <= c <= 90 else _WORDS[c] for c in range(256))
 
 
 def plain_words(text: str | None) -> list[bytes]:
     """Words for comparing texts: runs of letters, digits and _ in lower case, in UTF-8; ASCII punctuation parts them."""
-    return text.lower().encode().translate(_WORDS).split() if text else []
+    if not text:
+        return []
+    return text.encode().translate(_ASCII).split() if text.isascii() else text.lower().encode().translate(_WORDS).split()
+
+
+def plain_words_of(data: bytes) -> list[bytes]:
+    """plain_words() of a text's UTF-8 bytes."""
+    return data.translate(_ASCII).split() if data.isascii() else data.decode().lower().encode().translate(_WORDS).split()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

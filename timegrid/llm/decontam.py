@@ -11,7 +11,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timegrid.llm.common import WordHashes, chunks, plain_words, shingles, staged
+from timegrid.llm.common import TEXTS, WordHashes, batches_of, chunks, plain_words, shingles, staged
 
 SEED = 3
 MATCH, MISS, GAP = 2, -1, -1
@@ -172,7 +172,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, b
             continue
         sent = spark.sparkContext.broadcast(seeds)
         counts = rows.select("text").mapInArrow(lambda it, sent=sent: _frequencies(it, sent.value), "seed long, n long")
-        counts = counts.groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
+        with batches_of(spark, TEXTS):
+            counts = counts.groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
         df = np.zeros(len(seeds.keys), np.int64)
         df[np.asarray(counts["seed"], dtype=np.int64)] = np.asarray(counts["n"])
         seeds.keep_rare(df)
@@ -189,6 +190,6 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     from timegrid.llm.omh import identity
 
     number = docs.withColumn("doc_id", identity()).select("doc_id", "text")
-    bad = staged(leaks(number, benchmark, threshold).select(F.col("doc_id").alias("id_")).distinct(), "leaks")
+    bad = staged(leaks(number, benchmark, threshold).select(F.col("doc_id").alias("id_")).distinct(), "leaks", rows=TEXTS)
     rows = docs.withColumn("id_", identity()).join(bad.hint("merge"), "id_", "left_anti")
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -11,7 +11,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timegrid.llm.common import chunks
+from timegrid.llm.common import TEXTS, batches_of, chunks
 
 BITS = 16
 NOT_LETTER = re.compile(r"[\W\d_]+")
@@ -57,7 +57,9 @@ def _counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order, and log p(trigram bucket | language) for each, counted over all rows of docs with a lang."""
     rows = docs.filter("lang is not null and text is not null").select("text", "lang")
-    got = rows.mapInArrow(_counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    sums = rows.mapInArrow(_counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    with batches_of(docs.sparkSession, TEXTS):
+        got = sums.toArrow()
     names = np.array(got["lang"].to_pylist(), dtype=object)
     langs = sorted(set(names))
     n = np.zeros((len(langs), 1 << BITS))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timegrid.llm.common import chunks, drop_staged, staged
+from timegrid.llm.common import TEXTS, chunks, drop_staged, staged
 
 #: White space of a key's ends, and A-Z to a-z.
 SPACE = " \t\n\x0b\x0c\r"
@@ -39,7 +39,7 @@ def _line_keys(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _without(it: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
     """Each text without the lines whose keys are in its row's list."""
-    for batch in it:
+    for batch in chunks(it, "text_"):
         texts, lines, dropped = [], [], []
         for text, gone in zip(batch.column("text_").to_pylist(), batch.column("gone_").to_pylist(), strict=True):
             parts = (text or "").split("\n")
@@ -112,7 +112,7 @@ def _repeats(docs: DataFrame, batches: int) -> DataFrame:
         cuts = sorted(set(cuts or []))
     keys = rows.mapInArrow(_line_keys, "doc long, key binary")
     batch = reduce(lambda a, c: a + (F.col("doc") > F.lit(int(c))).cast("int"), cuts, F.lit(0))
-    keys = staged(keys.withColumn("batch", batch), "keys", ["batch"])
+    keys = staged(keys.withColumn("batch", batch), "keys", ["batch"], TEXTS)
     index, found = LineIndex(spark), []
     for i in range(len(cuts) + 1):
         found.append(index.add(keys.filter(F.col("batch") == i).select("doc", "key").distinct()))

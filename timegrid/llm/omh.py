@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timegrid.llm.align import edit_similarity
-from timegrid.llm.common import MULT, WordHashes, as_long, chunks, mixed, plain_words, shingles, staged
+from timegrid.llm.common import MULT, TEXTS, WordHashes, as_long, chunks, mixed, plain_words, shingles, staged
 from timegrid.llm.graph import components
 
 K, SKETCHES, MINIMA, SIMILARITY = 5, 24, 2, 0.8
@@ -88,7 +88,7 @@ def _pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _aligned(it: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    for batch in it:
+    for batch in chunks(it, "y"):
         found = []
         for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
             found.append(edit_similarity(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), least) >= least)
@@ -107,7 +107,7 @@ def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
     left = words.select(F.col("id").alias("a"), F.col("words").alias("x"))
     right = words.select(F.col("id").alias("b"), F.col("words").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return staged(both.mapInArrow(lambda it: _aligned(it, least), "a long, b long"), "links")
+    return staged(both.mapInArrow(lambda it: _aligned(it, least), "a long, b long"), "links", rows=TEXTS)
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -124,7 +124,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     J = 0.8 below 1e-10, at 0.45 about 0.5 %.
     """
     rows = docs.select(identity().alias("id"), "text")
-    sketched = staged(rows.mapInArrow(_sketched, "id long, digest binary, sketch array<long>"), "sketches")
+    sketched = staged(rows.mapInArrow(_sketched, "id long, digest binary, sketch array<long>"), "sketches", rows=TEXTS)
     texts = sketched.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("node"), F.first("sketch").alias("sketch"))
     texts = staged(texts, "texts")
     copies = sketched.filter("digest is not null").join(texts.select("digest", "node"), "digest").filter("id != node").select(F.col("node").alias("a"), F.col("id").alias("b"))
@@ -150,7 +150,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     pairs = staged(pairs.groupBy("a", "b").agg(F.max("star").alias("star")), "pairs")
     some = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     # these ids grow with the corpus, so they are never broadcast
-    words = staged(rows.join(some.hint("merge"), "id", "left_semi").mapInArrow(_as_words, "id long, words binary"), "words")
+    words = staged(rows.join(some.hint("merge"), "id", "left_semi").mapInArrow(_as_words, "id long, words binary"), "words", rows=TEXTS)
     words = words.dropDuplicates(["id"])
 
     stars = _verified(pairs.filter("star"), words, least)

@@ -16,7 +16,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timegrid.llm.common import chunks, numbered, spread, staged
+from timegrid.llm.common import TEXTS, chunks, numbered, spread, staged
 
 END_ID = 0
 BUCKETS = 64
@@ -31,10 +31,10 @@ class TokenIds(dict):
 
     The tokenizer splits at white space and normalises no character across it, so a text's ids are those of its words.
     Holds the words, and the pieces of words, that were used last: two generations of `limit` words and of `limit * 5 // 3`
-    pieces, some 300 MB, at most. A generation that is full becomes the old one, whose entries come back when used.
+    pieces, some 250 MB, at most. A generation that is full becomes the old one, whose entries come back when used.
     """
 
-    limit = 300_000
+    limit = 220_000
 
     def __init__(self, path: str):
         import tokenizers
@@ -180,7 +180,7 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), weights: tu
     rows = docs.select("doc_id", "text").mapInArrow(
         lambda it: _pieces(it, tokenizer, size), "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
-    rows = staged(rows.select("*", spread(BUCKETS)), "pieces")
+    rows = staged(rows.select("*", spread(BUCKETS)), "pieces", rows=TEXTS)
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     places = best_fit(counts, limits, weights, rule)
     places = places[np.lexsort((places[:, 1], places[:, 0]))]

@@ -11,7 +11,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timegrid.llm.common import WordHashes, chunks, mixed, shingles
+from timegrid.llm.common import TEXTS, WordHashes, batches_of, chunks, mixed, shingles
 
 BITS = 17
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -58,7 +58,8 @@ def ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     flag = trusted.select(F.col("doc_id").alias("id_")).dropna().distinct().withColumn("trusted_", F.lit(True))
     rows = docs.select(F.col("doc_id").alias("id_"), "text").join(flag.hint("merge"), "id_", "left").select("text", "trusted_")
     sums = rows.mapInArrow(_counts, "bucket long, raw long, target long").groupBy("bucket")
-    got = sums.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+    with batches_of(docs.sparkSession, TEXTS):
+        got = sums.agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.zeros(1 << BITS), np.zeros(1 << BITS)
     at = np.asarray(got["bucket"])
     raw[at], target[at] = np.asarray(got["raw"]), np.asarray(got["target"])
