@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timegrid.llm import decontam, lines, omh, packing, rules
-from timegrid.llm.common import staged, table
+from timegrid.llm.common import TEXTS, staged, table
 from timegrid.llm.queries import TOKENIZER
 
 
@@ -53,5 +53,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each stage's rows staged in the shared folder."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"), rows=TEXTS)
     return STAGES[-1][1](spark, docs, sf_dir)
