@@ -16,11 +16,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timegrid.llm.common import chunks, drop_staged, new_path, staged
+from timegrid.llm.common import TEXTS, batches_of, chunks, drop_staged, new_path, release, staged
 
 BLOCK_BYTES = 2 << 20
 #: A document's number: its block's number times this, plus its place there.
 DOCS = 1 << 20
+#: Blocks that go to Python at a time.
+BLOCKS = 4
 
 
 def _blocks(it: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -57,6 +59,7 @@ def rows_of(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in it:
         for i in range(batch.num_rows):
             yield batch.slice(i, 1).to_pylist()[0]
+    release()
 
 
 def sent(block: int, keys: list[bytes], checks: list[bytes] | None) -> pa.RecordBatch:
@@ -94,7 +97,8 @@ def stage(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, i
     name = "timegrid_blocks_" + path[-32:]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = rows.mapInArrow(lambda it: _blocks(it, block_bytes), schema)
-    made.write.bucketBy(parts, "block").option("path", path).option("compression", "zstd").saveAsTable(name)
+    with batches_of(spark, TEXTS):
+        made.write.bucketBy(parts, "block").option("path", path).option("compression", "zstd").saveAsTable(name)
     blocks = spark.table(name)
     return blocks, blocks.select(F.explode("sizes").alias("n")).agg(F.sum("n")).first()[0] or 0
 
@@ -123,7 +127,7 @@ def exchange(blocks: DataFrame, send: Callable, kind: str, into: str) -> DataFra
     """(block, into): what the buckets answer to the names of dtype `kind` that send() yields; staged."""
     sending = blocks.mapInArrow(send, SENT)
     found = sending.groupBy("bucket").applyInArrow(lambda t: _sort_bucket(t, kind), "bucket int, block long, bits binary")
-    found = staged(found.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias(into)), into)
+    found = staged(found.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias(into)), into, rows=BLOCKS)
     blocks.sparkSession._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of the buckets just sorted
     return found
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +97,13 @@ def spread(buckets: int):
     return F.pmod(F.monotonically_increasing_id(), F.lit(buckets)).alias("bucket")
 
 
+def release() -> None:
+    """Gives memory that a task has freed back to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(it: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in slices of about `limit` bytes of text each (one row at least)."""
     for batch in it:
@@ -109,7 +117,7 @@ def chunks(it: Iterable[pa.RecordBatch], column: str = "text", limit: int = CHUN
             to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
-    pa.default_memory_pool().release_unused()
+    release()
 
 
 class WordHashes(dict):
