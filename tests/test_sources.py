@@ -122,3 +122,16 @@ def test_stream_join_within(spark, tmp_path):
 
     got = windows.run_available(spark, src, rows.schema, str(tmp_path / "w"), build)
     assert got.count() == 1
+
+
+def test_stream_segments_equal_a_batch(spark, tmp_path):
+    from timegrid.operators.ordered import segment
+    from timegrid.streaming.segments import segment_stream
+
+    rows = spark.range(300).select(F.concat(F.lit("s"), F.col("id") % 2).alias("stream"), "id", F.lit(1).cast("long").alias("span"), (F.col("id") * 37 % 50).alias("size"))
+    src = str(tmp_path / "in")
+    for i in range(3):
+        rows.filter(f"id >= {i * 100} and id < {i * 100 + 100}").coalesce(1).write.mode("append").parquet(src)
+    got = windows.run_available(spark, src, rows.schema, str(tmp_path / "g"), lambda df: segment_stream(df, 5, 90), files=1)
+    want = segment(rows, "stream", "id", "span", "size", 5, 90).select("stream", "id", "segment")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

@@ -121,3 +121,32 @@ def fraction(at: Column, whole: Column) -> Column:
 def positive_integer(text: Column) -> Column:
     """The number if the text is digits only and at least 1."""
     return F.when(text.rlike("^[0-9]+$") & (text.try_cast("long") >= 1), text.try_cast("long"))
+
+
+def size(text: Column, names: dict[str, tuple[int, int]]) -> tuple[Column, Column]:
+    """Width and height of a name or of `WxH`; nulls if it is neither."""
+    out = []
+    for k in (0, 1):
+        known = F.create_map(*[F.lit(x) for name, wh in names.items() for x in (name, wh[k])])
+        out.append(F.coalesce(known[text], F.regexp_extract(text, r"^(\d+)x(\d+)$", k + 1).try_cast("int")))
+    return out[0], out[1]
+
+
+def filled(pattern: str, **values: Column) -> Column:
+    """A text with {name} replaced by each value."""
+    out = F.lit(pattern)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), value)
+    return out
+
+
+def convolved(value: str, kernel: Sequence[float], window) -> Column:
+    """A value's weighted sum with its neighbours in a window's order; beyond the ends the row itself stands in."""
+    middle = len(kernel) // 2
+    terms = [F.lit(k) * (F.coalesce(F.lag(value, middle - i).over(window), F.col(value)) if i != middle else F.col(value)) for i, k in enumerate(kernel)]
+    return sum(terms[1:], terms[0])
+
+
+def packed(v: Column, n: int) -> Column:
+    """A number as n bytes, the lowest first."""
+    return F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright(v, 8 * i).bitwiseAND(255)), 2, "0") for i in range(n)]))
