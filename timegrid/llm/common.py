@@ -147,9 +147,9 @@ def plain_words(text: str | None) -> list[bytes]:
     return text.encode().translate(_ASCII).split() if text.isascii() else text.lower().encode().translate(_WORDS).split()
 
 
-def plain_words_of(data: bytes) -> list[bytes]:
-    """plain_words() of a text's UTF-8 bytes."""
-    return data.translate(_ASCII).split() if data.isascii() else data.decode().lower().encode().translate(_WORDS).split()
+def plain_bytes(data: bytes) -> bytes:
+    """A text's UTF-8 bytes with blanks between and around its plain_words(), all else as they are."""
+    return data.translate(_ASCII) if data.isascii() else data.decode().lower().encode().translate(_WORDS)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -48,7 +48,10 @@ class Hashes:
         np.cumsum(byte[data] * power[:n], out=self.sums[1:])
 
     def of(self, at: np.ndarray, length: int) -> np.ndarray:
-        return (self.sums[at + length] - self.sums[at]) * self.inverse[at]
+        return self.between(at, at + length)
+
+    def between(self, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.sums[end] - self.sums[at]) * self.inverse[at]
 
 
 @dataclass
