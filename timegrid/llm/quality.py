@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +34,6 @@ class Shapes(WordHashes):
             kind = token[:3]
         if len(self) >= self.limit:
             self.clear()
-        import xxhash
-
         h = self[token] = xxhash.xxh64_intdigest(kind, 1)
         return h
 
