@@ -242,3 +242,9 @@ def test_llr_follows_its_formula(spark):
     scale = sum(target.values()) / sum(raw.values())
     for b, n in raw.items():
         assert table[b] == pytest.approx(np.log((target[b] + 10) / (n * scale + 10)))
+
+
+def test_ids_of_another_width(odd_docs):
+    narrow = odd_docs.withColumn("doc_id", odd_docs["doc_id"].cast("int"))
+    assert packing.pack(narrow, TOKENIZER).count() >= narrow.count()
+    assert lines.line_digests(narrow).count() == suffix.digests(narrow).count() == narrow.count()

@@ -147,7 +147,7 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, max_languages:
             cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64())), strict=True)]
             yield pa.record_batch([batch.column("doc_id"), *cols], names=["doc_id", "lang_pred", "score", "langs", "shares"])
 
-    return docs.select("doc_id", "text").mapInArrow(guessed, "doc_id long, lang_pred string, score double, langs array<string>, shares array<double>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(guessed, "doc_id long, lang_pred string, score double, langs array<string>, shares array<double>")
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -177,7 +177,7 @@ def pack(docs: DataFrame, tokenizer: str, limits: Limits = Limits(), weights: tu
     piece finds its place by its rank among the pieces of its length. Ranks are dealt over many tasks, ties included.
     """
     size = limits.tokens
-    rows = docs.select("doc_id", "text").mapInArrow(
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         lambda it: _pieces(it, tokenizer, size), "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
     rows = staged(rows.select("*", spread(BUCKETS)), "pieces", rows=TEXTS)

@@ -124,7 +124,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             p = 1 / (1 + np.exp(-np.clip(np.array(out), -35, 35)))
             yield pa.record_batch([batch.column("doc_id"), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(scored, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scored, "doc_id long, score double, predicted int")
 
 
 def held_out(part: int = 5, rest: int = 0):
