@@ -29,12 +29,14 @@ PLAIN = r"[\x21-\x3b\x3d-\x7e\xc0-\xff]+"
 class TokenIds(dict):
     """word -> its token ids as little-endian 32-bit bytes.
 
-    The tokenizer splits at white space and normalises no character across it, so a text's ids are those of its words.
+    The tokenizer splits at white space and normalises no character across it, so a text's ids are those of its words. A
+    word of plain characters is split into pieces here, and its pieces go to the vocabulary's model as they are, which
+    spares the tokenizer's own normalising and splitting; any other word goes through all of the tokenizer.
     Holds the words, and the pieces of words, that were used last: two generations of `limit` words and of `limit * 5 // 3`
-    pieces, some 250 MB, at most. A generation that is full becomes the old one, whose entries come back when used.
+    pieces, some 170 MB, at most. A generation that is full becomes the old one, whose entries come back when used.
     """
 
-    limit = 220_000
+    limit = 150_000
 
     def __init__(self, path: str):
         import tokenizers
@@ -45,9 +47,22 @@ class TokenIds(dict):
         self.old: dict[str, bytes] = {}
         self.old_pieces: dict[str, bytes] = {}
         self.split, self.plain = re.compile(PIECE).findall, re.compile(PLAIN).fullmatch
+        self.model = self.tokenizer.model
+        # the vocabulary writes each byte as a character: visible ones as they are, the others from U+0100 on
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = [b for b in range(256) if b not in shown]
+        self.characters = {b: 256 + n for n, b in enumerate(hidden)}
 
     def _encode(self, word: str) -> bytes:
-        ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids)
+        return self._bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    def _model(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.characters)
+        return self._bytes([token.id for token in self.model.tokenize(piece)])
+
+    def _bytes(self, numbers: list[int]) -> bytes:
+        ids = array("I", numbers)
         if sys.byteorder == "big":
             ids.byteswap()
         return ids.tobytes()
@@ -55,7 +70,7 @@ class TokenIds(dict):
     def _piece(self, piece: str) -> bytes:
         if (out := self.pieces.get(piece)) is None:
             if (out := self.old_pieces.get(piece)) is None:
-                out = self._encode(piece)
+                out = self._model(piece)
             if len(self.pieces) >= self.limit * 5 // 3:
                 self.old_pieces, self.pieces = self.pieces, {}
             self.pieces[piece] = out
