@@ -122,10 +122,10 @@ def test_best_fit_on_many_shapes():
 
 
 def test_token_memo_equals_the_tokenizer():
-    t = packing.TokenIds(public_tokenizers.path("word_bpe_49k.json"))
-    t.limit = 5
+    t = packing.TokenIds(public_tokenizers.path("word_bpe_49k.json"), 12)
     odd = "It's we'll İstanbul ΣΑΣ <|endoftext|> é ² ½ 12 á́ x y \x1c z×÷ µª <b> I'LL 'S ÀÉ ŒÆ ǅ 日本 🙂 a<|startoftext|>b"
-    for text in (odd, " ".join(odd.split() * 3), "", " ", "\n"):
+    plain = "It's we'LL 12 z÷ÀÉ×ß, o'clock--don't\tX\r\n'S  'd9'  ÿÑ!?~ "
+    for text in (odd, " ".join(odd.split() * 3), "", " ", "\n", plain, plain * 5):
         assert t.of(text) == struct.pack(f"<{len(t.of(text)) // 4}I", *t.tokenizer.encode(text, add_special_tokens=False).ids)
 
 

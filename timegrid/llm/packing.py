@@ -7,7 +7,7 @@ import sys
 import zlib
 from array import array
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,40 +23,53 @@ BUCKETS = 64
 
 #: The vocabulary's split of lower-case text into pieces, for characters up to U+00FF, where Python's classes agree.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿªµº]+|[0-9²³¹¼½¾]|[^\sa-zß-öø-ÿªµº0-9²³¹¼½¾]+"
-PLAIN = r"[\x21-\x3b\x3d-\x7e\xc0-\xff]+"
+#: Characters that make a text not plain; < may begin a special token.
+ODD = r"[^\t\n\r\x20-\x3b\x3d-\x7e\xc0-\xff]"
 
 
-class TokenIds(dict):
-    """word -> its token ids as little-endian 32-bit bytes.
+class Memo(dict):
+    """What `compute` gave for the keys used last: two generations of `limit` keys at most. A generation that is full becomes
+    the old one, whose entries come back when used."""
+
+    def __init__(self, compute: Callable[[str], bytes], limit: int):
+        super().__init__()
+        self.compute, self.limit, self.old = compute, limit, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if (out := self.old.get(key)) is None:
+            out = self.compute(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = out
+        return out
+
+
+class TokenIds:
+    """Texts' token ids as little-endian 32-bit bytes.
 
     The tokenizer splits at white space and normalises no character across it, so a text's ids are those of its words. A
-    word of plain characters is split into pieces here, and its pieces go to the vocabulary's model as they are, which
-    spares the tokenizer's own normalising and splitting; any other word goes through all of the tokenizer.
-    Holds the words, and the pieces of words, that were used last: two generations of `limit` words and of `limit * 5 // 3`
-    pieces, some 170 MB, at most. A generation that is full becomes the old one, whose entries come back when used.
+    text of plain characters is split into pieces here, and its pieces go to the vocabulary's model as they are, which
+    spares the tokenizer's own normalising and splitting; of any other text each word goes through all of the tokenizer.
+    Pieces and words used last are kept: some 150 MB at most.
     """
 
-    limit = 150_000
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = 300_000):
         import tokenizers
 
-        super().__init__()
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.pieces: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
-        self.split, self.plain = re.compile(PIECE).findall, re.compile(PLAIN).fullmatch
         self.model = self.tokenizer.model
+        self.split, self.odd = re.compile(PIECE).findall, re.compile(ODD).search
         # the vocabulary writes each byte as a character: visible ones as they are, the others from U+0100 on
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         hidden = [b for b in range(256) if b not in shown]
         self.characters = {b: 256 + n for n, b in enumerate(hidden)}
+        self.pieces, self.words = Memo(self._piece, limit), Memo(self._word, limit // 6)
 
-    def _encode(self, word: str) -> bytes:
+    def _word(self, word: str) -> bytes:
         return self._bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
-    def _model(self, piece: str) -> bytes:
+    def _piece(self, piece: str) -> bytes:
         if not piece.isascii():
             piece = piece.encode().decode("latin-1").translate(self.characters)
         return self._bytes([token.id for token in self.model.tokenize(piece)])
@@ -67,26 +80,10 @@ class TokenIds(dict):
             ids.byteswap()
         return ids.tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        if (out := self.pieces.get(piece)) is None:
-            if (out := self.old_pieces.get(piece)) is None:
-                out = self._model(piece)
-            if len(self.pieces) >= self.limit * 5 // 3:
-                self.old_pieces, self.pieces = self.pieces, {}
-            self.pieces[piece] = out
-        return out
-
-    def __missing__(self, word: str) -> bytes:
-        if (out := self.old.get(word)) is None:
-            out = b"".join(map(self._piece, self.split(word.lower()))) if self.plain(word) else self._encode(word)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[word] = out
-        return out
-
     def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        if self.odd(text):
+            return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+        return b"".join(map(self.pieces.__getitem__, self.split(text.lower())))
 
 
 def token_ids(path: str) -> TokenIds:
