@@ -108,9 +108,12 @@ def copies(blocks: DataFrame, least: int) -> DataFrame:
     texts = blocks.select("block", F.posexplode("digests").alias("at", "digest"), "sizes")
     texts = staged(texts.filter(F.element_at("sizes", F.col("at") + 1) >= least).select("block", "at", "digest"), "digests")
     first = texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("block", "at")).alias("lead")).filter("n > 1")
+    # staged, so that the join deals both sides anew and a large group of copies can be split
+    first = staged(first, "leads")
     out = texts.join(first, "digest").select("block", "at", F.col("lead.block").alias("lead_block"), F.col("lead.at").alias("lead_at"))
     out = staged(out, "copies")
     drop_staged(texts)
+    drop_staged(first)
     return out
 
 
