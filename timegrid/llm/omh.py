@@ -172,9 +172,10 @@ def near_copies(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     documents. A document alone in its class is its own. Rows with one doc_id are one document.
     """
     found = classes(docs, least)
-    sizes = found.groupBy("class").agg(F.count(F.lit(1)).alias("n_documents"))
+    # staged, so that the join deals both sides anew and a large class can be split
+    sizes = staged(found.groupBy("class").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
     rows = docs.select("doc_id", identity().alias("id"))
-    out = rows.join(found, "id").join(sizes, "class")
+    out = rows.join(found, "id").join(sizes, "class", "left").withColumn("n_documents", F.coalesce("n", F.lit(1).cast("long")))
     return out.select("doc_id", F.col("class").alias("class_id"), "n_documents")
 
 
