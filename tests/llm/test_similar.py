@@ -130,6 +130,29 @@ def test_a_large_group_of_near_copies(spark):
     assert got[0] == 300 and len(got) == 101
 
 
+def test_near_copies_among_texts_of_one_template(spark):
+    """A third of all rows hold a template of 78 % of their words; pairs at 0.90 among them are found."""
+    r = random.Random(12)
+    word = lambda: f"w{r.randrange(10**6)}"
+    template = [word() for _ in range(156)]
+    rows, pairs = [], []
+    for i in range(500):
+        own = [word() for _ in range(44)]
+        rows.append(template + own)
+        if i < 60:
+            near = rows[-1][:]
+            for at in r.sample(range(200), 20):
+                near[at] = word()
+            pairs.append((len(rows) - 1, len(rows)))
+            rows.append(near)
+    rows += [[word() for _ in range(100)] for _ in range(2 * len(rows))]
+    order = list(range(len(rows)))
+    r.shuffle(order)
+    df = spark.createDataFrame([(order[i], " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string").repartition(4)
+    got = {x["doc_id"]: x["class_id"] for x in omh.near_copies(df).collect()}
+    assert sum(got[order[a]] == got[order[b]] for a, b in pairs) >= 0.98 * len(pairs)
+
+
 def test_window_minima():
     r = np.random.default_rng(0)
     for _ in range(200):

@@ -16,8 +16,13 @@ from timegrid.llm.common import MULT, TEXTS, WordHashes, as_long, chunks, mixed,
 from timegrid.llm.graph import components
 
 K, SKETCHES, MINIMA, SIMILARITY = 5, 24, 2, 0.8
+#: Sketches of a single k-mer each, and its words: they find pairs whose edits are scattered, or whose own part is small.
+SINGLES, SINGLE_K = 40, 3
+#: In a bucket each row meets so many rows before it; all pairs of a bucket of one row more are candidates.
+NEIGHBOURS = 7
 #: Odd multipliers that order the labelled k-mers differently for each sketch.
 ORDERS = mixed(np.arange(1, 65, dtype=np.uint64) * MULT) | np.uint64(1)
+SINGLE_ORDERS = mixed(np.arange(65, 65 + SINGLES, dtype=np.uint64) * MULT) | np.uint64(1)
 
 
 def identity() -> Column:
@@ -60,38 +65,72 @@ def order_minhash(words: np.ndarray, sketches: int = SKETCHES) -> np.ndarray:
     return mixed(pairs[0] * MULT + pairs[1] + np.arange(sketches, dtype=np.uint64) * ORDERS[63])
 
 
+def single_minhash(words: np.ndarray) -> np.ndarray:
+    """Sketches of a word sequence: each the SINGLE_K-mer that its hash puts first. A text of fewer words has none."""
+    grams = shingles(words, SINGLE_K)
+    if not len(grams):
+        return grams
+    least = np.array([(grams * order).min() for order in SINGLE_ORDERS], np.uint64)
+    return mixed(least + np.arange(1, SINGLES + 1, dtype=np.uint64) * ORDERS[62])
+
+
 def _sketched(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in chunks(it):
-        digests, sketches = [], []
+        digests, sketches, sizes = [], [], []
         for text in batch.column("text").to_pylist():
             words = words_of(text, hashes)
             digests.append(xxhash.xxh3_128_digest(words.tobytes()) if len(words) else None)
-            sketches.append(as_long(order_minhash(words)))
-        cols = [batch.column("id"), pa.array(digests, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))]
-        yield pa.record_batch(cols, names=["id", "digest", "sketch"])
+            sketches.append(as_long(np.concatenate([order_minhash(words), single_minhash(words)])))
+            sizes.append(len(words))
+        cols = [batch.column("id"), pa.array(digests, pa.binary()), pa.array(sketches, pa.list_(pa.int64())), pa.array(sizes, pa.int32())]
+        yield pa.record_batch(cols, names=["id", "digest", "sketch", "n"])
+
 
+def _pairs(it: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """(leader, id) and (one of the NEIGHBOURS before, id) of each row of a sorted partition, one key's rows together.
 
-def _pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(leader, id) and (the one before, id) of each row of a sorted partition, one key's rows together."""
-    last_key = last_id = None
+    Pairs whose lengths alone keep them below `least` are left out."""
+    last = None
     for batch in it:
         if not batch.num_rows:
             continue
-        key, ids, lead = (np.asarray(batch.column(c)) for c in ("key", "id", "leader"))
-        before = np.concatenate([[last_id if last_key == key[0] else ids[0]], ids[:-1]])
-        before[1:][key[1:] != key[:-1]] = ids[1:][key[1:] != key[:-1]]
-        last_key, last_id = key[-1], ids[-1]
-        a, star = np.concatenate([lead, before]), np.repeat([True, False], len(ids))
-        b = np.concatenate([ids, ids])
-        yield pa.record_batch([pa.array(np.minimum(a, b)[a != b]), pa.array(np.maximum(a, b)[a != b]), pa.array(star[a != b])], names=["a", "b", "star"])
+        key, ids, n, lead, lead_n = (np.asarray(batch.column(c)) for c in ("key", "id", "n", "leader", "leader_n"))
+        found = [(lead, ids, lead_n, n, np.ones(len(ids), bool))]
+        rows = (key, ids, n)
+        old = last or tuple(x[:0] for x in rows)
+        every = tuple(np.concatenate([o, x]) for o, x in zip(old, rows, strict=True))
+        last = tuple(x[-NEIGHBOURS:] for x in every)
+        for back in range(1, NEIGHBOURS + 1):
+            at = np.arange(max(len(old[0]), back), len(every[0]))
+            at = at[every[0][at] == every[0][at - back]]
+            found.append((every[1][at - back], every[1][at], every[2][at - back], every[2][at], np.zeros(len(at), bool)))
+        a, b, m, n, star = map(np.concatenate, zip(*found, strict=True))
+        longest = np.maximum(m, n)
+        k = (a != b) & (np.abs(m - n) <= ((1 - least) * longest + 1e-9).astype(np.int64))
+        yield pa.record_batch([pa.array(np.minimum(a, b)[k]), pa.array(np.maximum(a, b)[k]), pa.array(star[k])], names=["a", "b", "star"])
+
+
+def _share_words(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether a and b have so many words in common, whatever their order, that their edit similarity may be `least`."""
+    longest = max(len(a), len(b))
+    every = np.concatenate([a, b])
+    every.sort()
+    # of the words of both, each step from one to an unequal one parts two kinds
+    kinds = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1], [True]]))
+    word = every[kinds[:-1]]
+    total = np.diff(kinds)
+    ordered = np.sort(a)
+    in_a = np.searchsorted(ordered, word, "right") - np.searchsorted(ordered, word, "left")
+    return int(np.minimum(in_a, total - in_a).sum()) >= longest - int((1 - least) * longest + 1e-9)
 
 
 def _aligned(it: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in chunks(it, "y"):
         found = []
         for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            found.append(edit_similarity(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"), least) >= least)
+            x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+            found.append(_share_words(x, y, least) and edit_similarity(x, y, least) >= least)
         yield pa.record_batch([c.filter(pa.array(found, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], names=["a", "b"])
 
 
@@ -114,24 +153,28 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(id, class): each document's number and that of the first document of its class of near-copies; staged.
 
     Texts whose words (see plain_words) are equal are one text, that of their smallest
-    number. Texts that share an Order MinHash sketch are candidates; no pair is listed but these: each with the first of
-    those that share it, and, where that leaves them apart, with its neighbour in the order of the following sketches. So
-    a sketch that very many share costs two pairs for each, sorted by range over many tasks. A pair is a link if the
-    words' edit similarity is `least` or more, and classes are the components of links. Texts of fewer than K words have
-    exact copies only; texts without any word are alone, each number for itself.
-
-    A pair whose k-mers overlap by J shares one of the 24 sketches but for a chance of about (1 - J * J) ** 24: at
-    J = 0.8 below 1e-10, at 0.45 about 0.5 %.
+    number. Texts that share a sketch are candidates: SKETCHES Order MinHash sketches, and SINGLES of one SINGLE_K-mer each.
+    All pairs of a bucket of up to NEIGHBOURS + 1 rows are compared; in a larger one each row meets the first of those that
+    share it, and, where that leaves them apart, the NEIGHBOURS rows before it in the order of the following sketches. So
+    a sketch that very many share costs a fixed number of pairs for each, sorted by range over many tasks. Two near-copies
+    among many texts of one template meet in the buckets of the k-mers that they share and the template lacks. A pair is a
+    link if the words' edit similarity is `least` or more, and classes are the components of links. Texts of fewer than
+    SINGLE_K words have exact copies only; texts without any word are alone, each number for itself.
+
+    A pair whose SINGLE_K-mers overlap by J shares none of the single sketches with a chance of about (1 - J) ** SINGLES:
+    edits scattered at a similarity of 0.8 leave J near 0.34, and 5e-8. Where a template fills the buckets, J counts only
+    the k-mers outside of it.
     """
     rows = docs.select(identity().alias("id"), "text")
-    sketched = staged(rows.mapInArrow(_sketched, "id long, digest binary, sketch array<long>"), "sketches", rows=TEXTS)
-    texts = sketched.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("node"), F.first("sketch").alias("sketch"))
+    sketched = staged(rows.mapInArrow(_sketched, "id long, digest binary, sketch array<long>, n int"), "sketches", rows=TEXTS)
+    texts = sketched.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("node"), F.first("sketch").alias("sketch"), F.first("n").alias("n"))
     texts = staged(texts, "texts")
     copies = sketched.filter("digest is not null").join(texts.select("digest", "node"), "digest").filter("id != node").select(F.col("node").alias("a"), F.col("id").alias("b"))
 
     size = F.size("sketch")
     keys = texts.filter(size > 0).select(
         F.col("node").alias("id"),
+        "n",
         F.explode(
             F.transform(
                 F.sequence(F.lit(1), size),
@@ -142,11 +185,12 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
                 ),
             )
         ).alias("s"),
-    ).select("id", "s.*")
-    shared = keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader != last").drop("last")
+    ).select("id", "n", "s.*")
+    shared = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("l"), F.max("id").alias("last")).filter("l.id != last")
+    shared = shared.select("key", F.col("l.id").alias("leader"), F.col("l.n").alias("leader_n"))
     shared = staged(keys.join(shared, "key"), "buckets")
     by = ("key", "next", "after", "id")
-    pairs = shared.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_pairs, "a long, b long, star boolean")
+    pairs = shared.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(lambda it: _pairs(it, least), "a long, b long, star boolean")
     pairs = staged(pairs.groupBy("a", "b").agg(F.max("star").alias("star")), "pairs")
     some = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     # these ids grow with the corpus, so they are never broadcast
