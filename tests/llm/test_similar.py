@@ -153,6 +153,18 @@ def test_near_copies_among_texts_of_one_template(spark):
     assert sum(got[order[a]] == got[order[b]] for a, b in pairs) >= 0.98 * len(pairs)
 
 
+@pytest.mark.parametrize("n", [30, 100, 300])
+def test_sketches_find_scattered_edits_at_the_stated_similarity(n):
+    r, found = np.random.default_rng(5), 0
+    sketched = lambda w: np.concatenate([omh.order_minhash(w), omh.single_minhash(w)])
+    for _ in range(200):
+        a = r.integers(1, 1 << 62, n).astype(np.uint64)
+        b, k = a.copy(), n // 5
+        b[r.choice(n, k, replace=False)] = r.integers(1, 1 << 62, k).astype(np.uint64)
+        found += bool((sketched(a) == sketched(b)).any())
+    assert found >= 199
+
+
 def test_window_minima():
     r = np.random.default_rng(0)
     for _ in range(200):
