@@ -241,6 +241,20 @@ def test_planted_passages(spark):
     assert found <= held and len(found) >= 0.97 * len(held)
 
 
+@pytest.mark.parametrize("n, similarity", [(55, 0.89), (55, 0.85), (55, 0.8), (80, 0.8)])
+def test_passages_near_the_stated_similarity_share_a_name(n, similarity):
+    r, search, found = np.random.default_rng(3), windows.Search(4), 0
+    some = lambda m: r.integers(1, 1 << 62, m).astype(np.uint64)
+    for _ in range(200):
+        p = some(n)
+        q, k = p.copy(), round((1 - similarity) * n)
+        q[r.choice(n, k, replace=False)] = some(k)
+        a, b = np.concatenate([some(40), p, some(40)]), np.concatenate([some(60), q, some(30)])
+        names, doc, *_ = search._windows(np.concatenate([a, b]), np.array([len(a), len(b)]))
+        found += bool(len(np.intersect1d(names[doc == 0], names[doc == 1])))
+    assert found >= 194
+
+
 def plain_smith_waterman(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(1, len(a) + 1):
