@@ -311,6 +311,31 @@ def test_edited_leaks_in_a_third_of_all_rows(spark):
     assert {x["doc_id"] for x in kept.collect()} == set(range(300)) - {i for i, _ in held}
 
 
+def test_passages_of_items_leak(spark):
+    """Passages below the threshold's share of their items; one of them in a third of all documents."""
+    r = random.Random(8)
+    word = lambda: f"w{r.randrange(3000)}"
+    items = [[word() for _ in range(n)] for n in (56, 300, 60)]
+    parts = [items[0][:30], items[1][100:250], items[2][30:56]]
+    edited = items[1][20:70]
+    for at in (5, 17, 30, 41):
+        edited[at] = word()
+    rows, held = [], set()
+    for i in range(150):
+        w = [word() for _ in range(r.randrange(30, 200))]
+        k = 2 if i % 3 == 0 else {1: 0, 2: 1, 4: 3}.get(i)
+        if k is not None:
+            w[10:10] = [*parts, edited][k]
+            held.add((i, [0, 1, 2, 1][k]))
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = decontam.leaks(df, bench).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in got} == held
+    first = next(x for x in got if x["doc_id"] == 1)
+    assert (first["start"], first["end"]) == (10, 40)
+
+
 def test_leaks_of_odd_rows(odd_docs, no_docs, tables):
     assert decontam.leaks(odd_docs, tables("benchmark")).collect() == []
     assert decontam.leaks(no_docs, tables("benchmark")).collect() == []

@@ -17,7 +17,12 @@ SEED = 3
 MATCH, MISS, GAP = 2, -1, -1
 #: A document holds an item from this share of the item's full alignment score on.
 THRESHOLD = 0.6
-#: A seed is rare if at most this many times as many documents hold it as hold the item's median seed.
+#: Or from a passage on, whatever its share, that scores as much as an item of so many words does as a whole, when
+#: mismatches and gaps cost EDIT: at that price no alignment grows by running through unlike words.
+PASSAGE, EDIT = 25, -3
+#: Seeds are judged by parts of an item of so many, one of which at least lies within any passage.
+PART = (PASSAGE - SEED + 2) // 2
+#: A seed is rare if at most this many times as many documents hold it as hold the median seed of its part of the item.
 RARE = 4
 #: Items whose words are broadcast at a time: a benchmark beyond this many words is taken in blocks.
 BLOCK_WORDS = 2_000_000
@@ -45,12 +50,15 @@ class Seeds:
         self.longest = max(map(len, self.words), default=0)
 
     def keep_rare(self, df: np.ndarray) -> None:
-        """Drops postings of seeds that are much more frequent than their item's median seed. Every item keeps some."""
+        """Drops postings of seeds that are much more frequent than the median seed of their part of the item. Every part
+        keeps some, so a passage that many documents hold is found though the rest of its item is rare."""
         each = np.repeat(df, np.diff(self.first))
-        order = np.lexsort((each, self.item))
-        begin = np.searchsorted(self.item[order], np.arange(len(self.ids) + 1))
-        median = each[order][(begin[:-1] + np.diff(begin) // 2).clip(max=max(0, len(order) - 1))] if len(order) else each
-        rare = each <= RARE * np.maximum(1, median)[self.item] if len(order) else np.zeros(0, bool)
+        most = int(self.at.max(initial=0)) // PART + 1
+        _, part = np.unique(self.item * most + self.at // PART, return_inverse=True)
+        order = np.lexsort((each, part))
+        begin = np.searchsorted(part[order], np.arange(int(part.max(initial=-1)) + 2))
+        median = each[order][begin[:-1] + np.diff(begin) // 2]
+        rare = each <= RARE * np.maximum(1, median)[part]
         key = np.repeat(np.arange(len(self.keys)), np.diff(self.first))[rare]
         self.item, self.at = self.item[rare], self.at[rare]
         kept, counts = np.unique(key, return_counts=True)
@@ -79,17 +87,17 @@ def _frequencies(it: Iterator[pa.RecordBatch], seeds: Seeds) -> Iterator[pa.Reco
     yield pa.record_batch([pa.array(at), pa.array(n[at])], names=["seed", "n"])
 
 
-def smith_waterman(items: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def smith_waterman(items: np.ndarray, passages: np.ndarray, miss: int = MISS, gap: int = GAP) -> tuple[np.ndarray, np.ndarray]:
     """Best local alignment scores of rows of word numbers, and where in the passages the alignments end.
 
     Row r of items is aligned to row r of passages. 0 pads items and 1 pads passages; they match nothing.
     """
     n, width = items.shape
-    steps = np.arange(width) * -GAP
+    steps = np.arange(width) * -gap
     h, best, end = np.zeros((n, width + 1), np.int32), np.zeros(n, np.int32), np.zeros(n, np.int64)
     for j in range(passages.shape[1]):
-        new = h[:, :-1] + np.where(items == passages[:, j, None], MATCH, MISS).astype(np.int32)
-        np.maximum(new, h[:, 1:] + GAP, out=new)
+        new = h[:, :-1] + np.where(items == passages[:, j, None], MATCH, miss).astype(np.int32)
+        np.maximum(new, h[:, 1:] + gap, out=new)
         np.maximum(new, 0, out=new)
         new = np.maximum.accumulate(new + steps, axis=1) - steps
         h[:, 1:] = new
@@ -138,9 +146,17 @@ def _leaks(it: Iterator[pa.RecordBatch], seeds: Seeds, threshold: float) -> Iter
                 items = _pad([seeds.words[p[1]] for p in part], width, 0)
                 best, end = smith_waterman(items, _pad([p[3] for p in part], max(len(p[3]) for p in part), 1))
                 for (r, i, start, passage), score, last in zip(part, best.tolist(), end.tolist(), strict=True):
-                    share = score / (MATCH * len(seeds.words[i]))
-                    if share >= threshold and share > found.get((r, i), (0,))[0]:
-                        back, first = smith_waterman(seeds.words[i][None, ::-1], passage[None, last::-1])
+                    share, gap = score / (MATCH * len(seeds.words[i])), GAP
+                    if share < threshold and score >= MATCH * PASSAGE:
+                        # the place and share of the passage by itself
+                        strict, at = smith_waterman(seeds.words[i][None], passage[None], EDIT, EDIT)
+                        if strict[0] < MATCH * PASSAGE:
+                            continue
+                        last, gap = int(at[0]), EDIT
+                    elif share < threshold:
+                        continue
+                    if share > found.get((r, i), (0,))[0]:
+                        back, first = smith_waterman(seeds.words[i][None, ::-1], passage[None, last::-1], min(gap, MISS), gap)
                         found[r, i] = (share, start + last - int(first[0]), start + last + 1)
         if found:
             ids = batch.column("id").to_pylist()
@@ -153,10 +169,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, b
     """(doc_id, item_id, score, start, end): documents that hold a passage of a benchmark item, and its words' range.
 
     Words: see plain_words. The items' 3-grams are seeds; how many documents hold each is counted over all documents, and
-    an item's rare ones (those not much more frequent than its median one, so an item that a third of all documents hold
-    keeps its seeds) mark where it may be. Each such window is aligned to the item with Smith-Waterman (match 2, mismatch
+    an item's rare ones (those not much more frequent than the median one of their part of it, so an item or a passage that
+    a third of all documents hold keeps its seeds) mark where it may be. Each such window is aligned to the item with Smith-Waterman (match 2, mismatch
     and gap -1); score is the best one's share of the item's full score. Rows of the result have a score of `threshold`
-    or more; a row of docs and an item give one at most. Items of fewer than 3 words, nulls among them, are not sought.
+    or more, or hold a passage of the item that by itself scores as much as PASSAGE words do (mismatch and gap EDIT); a row of docs and an item give one at most. Items of fewer than 3 words, nulls among them, are not sought.
     The benchmark is broadcast in blocks of about block_words words, and documents are read twice for each block; they
     are never shuffled. Repeated rows, null ids and empty tables need no care: each row is judged for itself.
     """
