@@ -26,3 +26,9 @@ def test_entry_points(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(QUERIES) <= set(entry.queries())
     assert entry.entry(spark).columns == ["event_id", "user_id", "signup_id"]
+
+
+def test_whole_texts_are_shown(spark):
+    got = {r["doc_id"]: r["shown"] for r in QUERIES["printable_whole"](spark, oracle.DATA).collect()}
+    given = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{oracle.DATA}/documents.parquet").collect()}
+    assert all(len(got[i]) == len(t) for i, t in given.items() if t) and max(map(len, filter(None, got.values()))) > 200

@@ -328,6 +328,11 @@ def printable(t):
     return t("documents").select("doc_id", S.printable(F.left("text", F.lit(200))).alias("shown"))
 
 
+@query("printable_whole", "SELECT doc_id, regexp_replace(text, '[^\\x20-\\x7E\\xA0-\\xFF]', '?', 'g') AS shown FROM documents")
+def printable_whole(t):
+    return t("documents").select("doc_id", S.printable(F.col("text")).alias("shown"))
+
+
 @query("first_item", "SELECT page_id, trim(split_part(url, '/', 3)) AS host FROM pages")
 def first_item(t):
     return t("pages").select("page_id", F.trim(F.split_part("url", F.lit("/"), F.lit(3))).alias("host"))
