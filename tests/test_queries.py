@@ -32,3 +32,12 @@ def test_whole_texts_are_shown(spark):
     got = {r["doc_id"]: r["shown"] for r in QUERIES["printable_whole"](spark, oracle.DATA).collect()}
     given = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{oracle.DATA}/documents.parquet").collect()}
     assert all(len(got[i]) == len(t) for i, t in given.items() if t) and max(map(len, filter(None, got.values()))) > 200
+
+
+def test_a_first_report_without_a_time_stays_null(spark):
+    events = spark.read.parquet(f"{oracle.DATA}/events.parquet").select("user_id", "event_id").collect()
+    first = {}
+    for r in events:
+        first[r["user_id"]] = min(r["event_id"], first.get(r["user_id"], r["event_id"]))
+    got = {r["user_id"]: r["base"] for r in QUERIES["first_report"](spark, oracle.DATA).collect()}
+    assert {u for u, base in got.items() if base is None} == {u for u, i in first.items() if i % 11 == 0} != set()

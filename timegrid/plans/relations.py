@@ -421,6 +421,12 @@ def first_timestamp(t):
     return rows.groupBy("user_id").agg(F.min_by(micros() / 1e6, "event_id").alias("base"))
 
 
+@query("first_report", "SELECT user_id, first(CASE WHEN event_id % 11 = 0 THEN NULL ELSE epoch_us(ts) / 1e6 END ORDER BY event_id) AS base FROM events GROUP BY user_id")
+def first_report(t):
+    value = F.when(F.col("event_id") % 11 != 0, micros() / 1e6)
+    return t("events").groupBy("user_id").agg(F.min_by(F.struct(value.alias("base")), "event_id")["base"].alias("base"))
+
+
 @query("deinterleave", "SELECT l_orderkey % 3 AS role, CAST(sum(l_linenumber) AS BIGINT) AS total FROM lineitem GROUP BY role")
 def deinterleave(t):
     return t("lineitem").groupBy(F.pmod("l_orderkey", F.lit(3)).alias("role")).agg(F.sum("l_linenumber").alias("total"))
