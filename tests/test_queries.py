@@ -41,3 +41,9 @@ def test_a_first_report_without_a_time_stays_null(spark):
         first[r["user_id"]] = min(r["event_id"], first.get(r["user_id"], r["event_id"]))
     got = {r["user_id"]: r["base"] for r in QUERIES["first_report"](spark, oracle.DATA).collect()}
     assert {u for u, base in got.items() if base is None} == {u for u, i in first.items() if i % 11 == 0} != set()
+
+
+def test_every_frame_is_replayed(spark):
+    events = spark.read.parquet(f"{oracle.DATA}/events.parquet")
+    frames = {r["frame"] for r in QUERIES["delta_replay_whole"](spark, oracle.DATA).select("frame").distinct().collect()}
+    assert frames == {r["event_id"] for r in events.filter("event_type = 'signup'").collect()}

@@ -153,6 +153,18 @@ def delta_replay(t):
     return asof.asof_join(asked, writes, "key", "frame", "at", ["value"]).select("gop", "frame", "cell", "value")
 
 
+@query("delta_replay_whole", """WITH e AS (SELECT *, CAST(user_id % 8 AS BIGINT) AS gop, CAST(user_id // 8 AS BIGINT) AS cell FROM events),
+    f AS (SELECT DISTINCT gop, event_id AS frame FROM e WHERE event_type = 'signup'), c AS (SELECT DISTINCT gop, cell FROM e),
+    a AS (SELECT f.gop, frame, cell FROM f JOIN c ON f.gop = c.gop)
+    SELECT a.gop, frame, a.cell, value FROM a ASOF LEFT JOIN e ON e.gop = a.gop AND e.cell = a.cell AND a.frame >= e.event_id""")
+def delta_replay_whole(t):
+    rows = t("events").select("event_id", "event_type", "value", (F.col("user_id") % 8).alias("gop"), F.expr("user_id div 8").alias("cell"))
+    frames = rows.filter("event_type = 'signup'").select("gop", F.col("event_id").alias("frame"))
+    asked = frames.join(rows.select("gop", "cell").distinct(), "gop").withColumn("key", F.struct("gop", "cell"))
+    writes = rows.select(F.struct("gop", "cell").alias("key"), F.col("event_id").alias("at"), "value")
+    return asof.asof_join(asked, writes, "key", "frame", "at", ["value"]).select("gop", "frame", "cell", "value")
+
+
 @query("running_pts", "SELECT event_id, coalesce(CAST(sum(event_id % 7) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS pts FROM events")
 def running_pts(t):
     return ordered.running(t("events"), "user_id", "event_id", F.col("event_id") % 7, "pts").select("event_id", F.col("pts").cast("long").alias("pts"))
