@@ -13,7 +13,7 @@ from contextlib import contextmanager, suppress
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Odd multipliers of the hash functions below.
@@ -67,12 +67,15 @@ def staged(df: DataFrame, name: str, partition_by: Sequence[str] = (), rows: int
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_path(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_staged(df: DataFrame) -> None:
     """Deletes a staged table that no later plan reads."""
-    spark = df.sparkSession
     for at in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        drop_path(df.sparkSession, at)
 
 
 def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, buckets: int = 1024) -> DataFrame:
@@ -92,6 +95,21 @@ def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], name: st
     )
 
 
+def identity() -> Column:
+    """A document's number: its doc_id, or for a row without one a negative number from its text."""
+    return F.coalesce(F.col("doc_id").cast("long"), -1 - F.shiftrightunsigned(F.xxhash64("text"), 1))
+
+
+def whole_row(docs: DataFrame, *without: str) -> Column:
+    """All columns of docs (but those) as one, `row`: beside it an operator's own columns can clash with none of them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in without]).alias("row")
+
+
+def columns_of(rows: DataFrame, docs: DataFrame, **instead: Column) -> DataFrame:
+    """The columns of docs, in order, from the column `row` of rows, or from what is given instead."""
+    return rows.select(*[instead[c].alias(c) if c in instead else F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
 def spread(buckets: int):
     """A column that deals rows over buckets evenly, whatever their keys. Stage it before it is used twice."""
     return F.pmod(F.monotonically_increasing_id(), F.lit(buckets)).alias("bucket")

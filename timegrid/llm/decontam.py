@@ -11,7 +11,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timegrid.llm.common import TEXTS, WordHashes, batches_of, chunks, plain_words, shingles, staged
+from timegrid.llm.common import TEXTS, WordHashes, batches_of, chunks, columns_of, identity, plain_words, shingles, staged, whole_row
 
 SEED = 3
 MATCH, MISS, GAP = 2, -1, -1
@@ -30,7 +30,16 @@ FILTER_BITS = 22
 
 
 class Seeds:
-    """The items of a block: their words, and their n-grams in order with where they occur."""
+    """The items of a block: their words, and their n-grams in order with where they occur.
+
+    Only vars() of it is broadcast, lists and arrays: workers need not have this package.
+    """
+
+    @classmethod
+    def restored(cls, state: dict) -> Seeds:
+        out = cls.__new__(cls)
+        vars(out).update(state)
+        return out
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
         hashes = WordHashes()
@@ -186,26 +195,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, b
         seeds = Seeds([tuple(r) for r in part.collect()])
         if not seeds.ids:
             continue
-        sent = spark.sparkContext.broadcast(seeds)
-        counts = rows.select("text").mapInArrow(lambda it, sent=sent: _frequencies(it, sent.value), "seed long, n long")
+        sent = spark.sparkContext.broadcast(vars(seeds))
+        counts = rows.select("text").mapInArrow(lambda it, sent=sent: _frequencies(it, Seeds.restored(sent.value)), "seed long, n long")
         with batches_of(spark, TEXTS):
             counts = counts.groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
         df = np.zeros(len(seeds.keys), np.int64)
         df[np.asarray(counts["seed"], dtype=np.int64)] = np.asarray(counts["n"])
         seeds.keep_rare(df)
-        sent = spark.sparkContext.broadcast(seeds)
-        found.append(rows.mapInArrow(lambda it, sent=sent: _leaks(it, sent.value, threshold), "id long, item_id long, score double, start long, end long"))
+        sent = spark.sparkContext.broadcast(vars(seeds))
+        found.append(rows.mapInArrow(lambda it, sent=sent: _leaks(it, Seeds.restored(sent.value), threshold), "id long, item_id long, score double, start long, end long"))
     if not found:
         return spark.createDataFrame([], "doc_id long, item_id long, score double, start long, end long")
     return reduce(DataFrame.unionAll, found).withColumnRenamed("id", "doc_id")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs (same columns) without the documents that hold a benchmark passage. Rows with one doc_id go or stay together;
-    a row without a doc_id is told by its text."""
-    from timegrid.llm.omh import identity
-
-    number = docs.withColumn("doc_id", identity()).select("doc_id", "text")
-    bad = staged(leaks(number, benchmark, threshold).select(F.col("doc_id").alias("id_")).distinct(), "leaks", rows=TEXTS)
-    rows = docs.withColumn("id_", identity()).join(bad.hint("merge"), "id_", "left_anti")
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs without the documents that hold a benchmark passage. Rows with one doc_id go or stay together;
+    a row without a doc_id is told by its text. All columns come back as they were, whatever their names."""
+    rows = docs.select(identity().alias("id"), whole_row(docs))
+    number = docs.select(identity().alias("doc_id"), "text")
+    bad = staged(leaks(number, benchmark, threshold).select(F.col("doc_id").alias("id")).distinct(), "leaks", rows=TEXTS)
+    return columns_of(rows.join(bad.hint("merge"), "id", "left_anti"), docs)
