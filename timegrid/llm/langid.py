@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,10 +15,15 @@ from pyspark.sql import functions as F
 from timegrid.llm.common import TEXTS, batches_of, chunks
 
 BITS = 16
-NOT_LETTER = re.compile(r"[\W\d_]+")
+#: Numbers that are no letters and no decimal digits: fractions, Roman numerals, digits in circles and the like.
+NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+#: What is no letter (Unicode category L).
+NOT_LETTER = re.compile(rf"[\W\d_{NUMBERS}]+")
 #: Pseudo-counts of a bucket, EM rounds, and nats of log-likelihood that a further language must bring per log(words).
 SMOOTH, ROUNDS, PENALTY = 0.5, 12, 3.0
 UNKNOWN = "und"
+#: Languages that are learned at most, those of the most documents; bounds what is collected and broadcast.
+LANGUAGES = 128
 
 
 def _grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,9 +60,15 @@ def _counts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at].astype(np.int64))], names=["lang", "bucket", "n"])
 
 
-def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and log p(trigram bucket | language) for each, counted over all rows of docs with a lang."""
+def learn(docs: DataFrame, most: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
+    """Languages in order, and log p(trigram bucket | language) for each, counted over all rows of docs with a lang.
+
+    Of more than `most` values of lang, those of the most rows are languages (of equals the first in order): a column full
+    of stray values can't make the table grow, which has 2^BITS numbers a language.
+    """
     rows = docs.filter("lang is not null and text is not null").select("text", "lang")
+    common = docs.filter("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).select("lang")
+    rows = rows.join(F.broadcast(common), "lang", "left_semi")
     sums = rows.mapInArrow(_counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     with batches_of(docs.sparkSession, TEXTS):
         got = sums.toArrow()
