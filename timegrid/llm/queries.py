@@ -39,8 +39,7 @@ def op6_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rules.judge(table(spark, sf_dir, "documents"), rules.trusted_ids(table(spark, sf_dir, "labels")))
-    return out.toDF("doc_id", *rules.NAMES)
+    return rules.judge(table(spark, sf_dir, "documents"), rules.trusted_ids(table(spark, sf_dir, "labels")))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
