@@ -10,15 +10,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from timegrid.llm.common import WordHashes, chunks, mixed, shingles, staged
+from timegrid.llm.common import WordHashes, chunks, drop_path, mixed, shingles, staged
 
 BITS = 18
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: The labelled rows that are learned from, at most: those whose ids have the smallest hashes.
 TRAIN_ROWS = 8192
+#: Examples that the driver learns from at a time.
+PART = 1024
 THRESHOLD = 0.3
 SCALE = 8.0
 
@@ -82,28 +84,36 @@ def _examples(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, n = np.unique(got, return_counts=True)
             ats.append(at.astype("<u4").tobytes())
             xs.append((n * (SCALE / max(1, len(got)))).astype("<f4").tobytes())
-        cols = [batch.column("rank"), batch.column("label"), pa.array(ats, pa.binary()), pa.array(xs, pa.binary())]
-        yield pa.record_batch(cols, names=["rank", "label", "at", "x"])
+        cols = [batch.column("part"), batch.column("number"), batch.column("label"), pa.array(ats, pa.binary()), pa.array(xs, pa.binary())]
+        yield pa.record_batch(cols, names=["part", "number", "label", "at", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: int = 3) -> np.ndarray:
     """Weights (the last: the bias) learned from up to `rows` labelled documents, in the order of their ids' hashes.
 
-    A document labelled both ways counts as bad; null labels and ids count not at all. The sample's ids are broadcast (at
-    most `rows` numbers), so no text is shuffled but the sample's. Its features go through a staged table partition by
-    partition, so the driver holds one of them at a time.
+    A document labelled both ways counts as bad; null labels and ids count not at all. Of rows of docs with one doc_id the
+    text with the smallest hash is learned from, so there are `rows` examples at most. The sample's ids are broadcast (at
+    most `rows` numbers), so no text is shuffled but the sample's. Examples are numbered and staged once in parts of PART;
+    the driver holds one part at a time, at most PART times the 2^BITS features that an example can have.
     """
     chosen = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
-    chosen = chosen.withColumn("rank", F.xxhash64("doc_id")).orderBy("rank", "doc_id").limit(rows)
-    chosen = chosen.withColumnRenamed("doc_id", "id_")
-    texts = docs.select(F.col("doc_id").alias("id_"), "text").join(F.broadcast(chosen), "id_").select("rank", "label", "text")
-    found = texts.mapInArrow(_examples, "rank long, label int, at binary, x binary")
-    found = staged(found.repartitionByRange(4, "rank").sortWithinPartitions("rank", "label", "x"), "examples")
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    chosen = chosen.select(F.col("doc_id").alias("id"), "label", (F.row_number().over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")) - 1).alias("number"))
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id")
+    texts = texts.groupBy("number", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    texts = texts.select(F.floor(F.col("number") / PART).cast("int").alias("part"), "number", "label", "text")
+    found = texts.repartitionByRange("part").mapInArrow(_examples, "part int, number int, label int, at binary, x binary")
+    found = staged(found, "examples", ["part"])
     model, bias = Ftrl(), np.array([1 << BITS])
+    parts = sorted(r["part"] for r in found.select("part").distinct().collect())
     for _ in range(epochs):
-        for r in found.orderBy("rank", "label", "x").toLocalIterator():
-            at = np.concatenate([np.frombuffer(r["at"], "<u4").astype(np.int64), bias])
-            model.learn(at, np.concatenate([np.frombuffer(r["x"], "<f4").astype(float), [1.0]]), int(r["label"] > 0))
+        for part in parts:
+            got = found.filter(F.col("part") == part).select("number", "label", "at", "x").toArrow().sort_by("number")
+            for label, where, share in zip(*(got[c].to_pylist() for c in ("label", "at", "x")), strict=True):
+                at = np.concatenate([np.frombuffer(where, "<u4").astype(np.int64), bias])
+                model.learn(at, np.concatenate([np.frombuffer(share, "<f4").astype(float), [1.0]]), int(label > 0))
+    if parts:
+        drop_path(docs.sparkSession, found.inputFiles()[0].rsplit("/", 2)[0])
     return model.weights().astype(np.float32)
 
 
