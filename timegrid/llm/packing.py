@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from timegrid.llm.common import TEXTS, chunks, numbered, spread, staged
 
 END_ID = 0
-BUCKETS = 64
+BUCKETS = 1024
 
 #: The vocabulary's split of lower-case text into pieces, for characters up to U+00FF, where Python's classes agree.
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿªµº]+|[0-9²³¹¼½¾]|[^\sa-zß-öø-ÿªµº0-9²³¹¼½¾]+"
@@ -87,7 +87,8 @@ class TokenIds:
 
 
 def token_ids(path: str) -> TokenIds:
-    """One TokenIds for a Python worker and file, kept from task to task."""
+    """One TokenIds for a Python worker and file, kept from task to task: beside sys, as the package travels by value, so that
+    each task has new globals of its own."""
     kept = vars(sys).setdefault("_timegrid_token_ids", {})
     if path not in kept:
         kept[path] = TokenIds(path)
