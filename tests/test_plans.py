@@ -10,6 +10,8 @@ from timegrid.plans import QUERIES
 #: Queries that cross a table with one row of totals, or a handful of rows.
 TOTALS = {"priority_lookup"}
 PYTHON = {n for n in QUERIES if n.startswith(("codec", "stream", "pacer", "chunk_scan", "adaptive"))} | {"gop_segment"}
+#: Codecs and streams of plans/media.py.
+PYTHON |= {"audio_roles", "cells_shown", "chunk_headers", "chunk_resync", "coded_peek", "control_frames", "fan_out", "gop_coded", "gop_raw", "gop_spans", "index_probe", "nibble_pack", "onebit_tone"}
 
 
 def plan(spark, name):

@@ -43,7 +43,7 @@ class Room:
         return self.url, self.start, self.end, self.loop
 
 
-_CAPS = struct.Struct("<BBBHBHHB")
+_CAPS = "<BBBHBHHB"
 
 
 @dataclass(frozen=True)
@@ -60,11 +60,11 @@ class Caps:
 
     def pack(self) -> bytes:
         flags = self.want_video | self.want_audio << 1
-        return _CAPS.pack(flags, self.video, self.audio, self.channels, self.compress, self.width, self.height, self.fps)
+        return struct.pack(_CAPS, flags, self.video, self.audio, self.channels, self.compress, self.width, self.height, self.fps)
 
     @classmethod
     def parse(cls, body: bytes) -> Caps:
-        flags, *rest = _CAPS.unpack_from(body)
+        flags, *rest = struct.unpack_from(_CAPS, body)
         return cls(bool(flags & 1), bool(flags & 2), *rest)
 
 

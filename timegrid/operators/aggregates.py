@@ -56,6 +56,32 @@ def integral(df: DataFrame, x: str, y: str, value: str) -> DataFrame:
     return dense.withColumn("r", F.sum("v").over(row)).select(x, y, F.sum("r").over(column).alias("total"))
 
 
+def integrals(df: DataFrame, axes: Sequence[str], value: str) -> DataFrame:
+    """(axes, total): as integral(), along any number of axes: one running sum for each."""
+    out = df.groupBy(*axes).agg(F.sum(value).alias("total"))
+    grid = out.agg(*[F.max(a).alias(f"m_{a}") for a in axes])
+    for a in axes:
+        grid = grid.withColumn(a, F.explode(F.sequence(F.lit(0), F.col(f"m_{a}").cast("int"))))
+    out = grid.select(*axes).join(out, list(axes), "left").fillna(0, ["total"])
+    for a in axes:
+        along = Window.partitionBy(*[b for b in axes if b != a]).orderBy(a).rowsBetween(Window.unboundedPreceding, 0)
+        out = out.withColumn("total", F.sum("total").over(along))
+    return out
+
+
+def boxes(table: DataFrame, axes: Sequence[str], asked: DataFrame) -> DataFrame:
+    """asked (box, and for each axis its first and last place, x0, x1 of axis x) with the sum of values inside, from the
+    2 ** len(axes) corners of integrals(), by inclusion and exclusion."""
+    corners = asked.withColumn("sign", F.lit(1)).select("*", *[F.lit(0).alias(a) for a in axes])
+    for a in axes:
+        ends = F.array(F.struct(F.col(f"{a}1").alias("at"), F.lit(1).alias("s")), F.struct((F.col(f"{a}0") - 1).alias("at"), F.lit(-1).alias("s")))
+        corners = corners.withColumn("end", F.explode(ends)).withColumns({a: F.col("end.at"), "sign": F.col("sign") * F.col("end.s")}).drop("end")
+    limits = table.agg(*[F.max(a).alias(f"m_{a}") for a in axes])
+    inside = corners.crossJoin(F.broadcast(limits)).withColumns({a: F.least(a, f"m_{a}") for a in axes})
+    found = inside.join(table, list(axes), "left")
+    return found.groupBy("box").agg(F.coalesce(F.sum(F.col("sign") * F.coalesce("total", F.lit(0))), F.lit(0)).cast("long").alias("inside"))
+
+
 def box_sum(table: DataFrame, x: str, y: str, boxes: DataFrame) -> DataFrame:
     """boxes (box, x0, y0, x1, y1; ends included) with the sum of values inside, from four corners of integral()."""
     corners = F.array(

@@ -59,7 +59,7 @@ def codec_pack(t):
     return rows.select("l_orderkey", F.hex(udfs.unpack_bits("packed", F.lit(5), "n")).alias("plane"))
 
 
-@query("codec_onebit")
+@query("codec_onebit", "SELECT page_id, CAST((strlen(html) + 7) // 8 * 8 AS INT) AS samples FROM pages")
 def codec_onebit(t):
     rows = t("pages").select("page_id", F.col("html").cast("binary").alias("pcm"))
     return rows.select("page_id", F.octet_length(udfs.onebit_decode(udfs.onebit_encode("pcm"))).alias("samples"))

@@ -256,12 +256,6 @@ def mask_members(t):
     return t("events").select("event_id", F.concat_ws(",", found.cast("array<string>")).alias("roles"))
 
 
-@query("names_to_mask", """WITH w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part) SELECT p_partkey, CAST(bit_or(1 << (length(w) % 9)) AS INT) AS mask FROM w GROUP BY p_partkey""")
-def names_to_mask(t):
-    words = t("part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("w"))
-    return words.groupBy("p_partkey").agg(F.bit_or(F.expr("shiftleft(1, length(w) % 9)")).alias("mask"))
-
-
 @query("preference_choice", """SELECT user_id, CASE WHEN bit_and(m) & 4 > 0 THEN 4 WHEN bit_and(m) & 2 > 0 THEN 2 ELSE 0 END AS algorithm FROM (SELECT user_id, event_id % 8 | (user_id % 8) AS m FROM events) GROUP BY user_id""")
 def preference_choice(t):
     mask = (F.col("event_id") % 8).bitwiseOR(F.col("user_id") % 8)
@@ -323,11 +317,6 @@ def sanitize(t):
     return t("pages").select("page_id", S.sanitize(F.col("url")).alias("name"))
 
 
-@query("printable", "SELECT doc_id, regexp_replace(left(text, 200), '[^\\x20-\\x7E\\xA0-\\xFF]', '?', 'g') AS shown FROM documents")
-def printable(t):
-    return t("documents").select("doc_id", S.printable(F.left("text", F.lit(200))).alias("shown"))
-
-
 @query("printable_whole", "SELECT doc_id, regexp_replace(text, '[^\\x20-\\x7E\\xA0-\\xFF]', '?', 'g') AS shown FROM documents")
 def printable_whole(t):
     return t("documents").select("doc_id", S.printable(F.col("text")).alias("shown"))
@@ -415,18 +404,7 @@ def aspect_fit(t):
     return t("part").select("p_partkey", F.greatest(F.lit(1), F.least(F.lit(164), w)).cast("int").alias("w"), F.greatest(F.lit(1), F.least(F.lit(123), h)).cast("int").alias("h"))
 
 
-@query("first_timestamp", "SELECT user_id, arg_min(CASE WHEN event_id % 11 = 0 THEN NULL ELSE us / 1e6 END, event_id) AS base FROM (SELECT *, epoch_us(ts) AS us FROM events WHERE event_id % 2 = 1) WHERE event_id % 11 <> 0 GROUP BY user_id")
-def first_timestamp(t):
-    rows = t("events").filter("event_id % 2 = 1 and event_id % 11 != 0")
-    return rows.groupBy("user_id").agg(F.min_by(micros() / 1e6, "event_id").alias("base"))
-
-
 @query("first_report", "SELECT user_id, first(CASE WHEN event_id % 11 = 0 THEN NULL ELSE epoch_us(ts) / 1e6 END ORDER BY event_id) AS base FROM events GROUP BY user_id")
 def first_report(t):
     value = F.when(F.col("event_id") % 11 != 0, micros() / 1e6)
     return t("events").groupBy("user_id").agg(F.min_by(F.struct(value.alias("base")), "event_id")["base"].alias("base"))
-
-
-@query("deinterleave", "SELECT l_orderkey % 3 AS role, CAST(sum(l_linenumber) AS BIGINT) AS total FROM lineitem GROUP BY role")
-def deinterleave(t):
-    return t("lineitem").groupBy(F.pmod("l_orderkey", F.lit(3)).alias("role")).agg(F.sum("l_linenumber").alias("total"))

@@ -141,18 +141,6 @@ def ffill(t):
     return ordered.fill_forward(t("events"), "user_id", "event_id", F.when(F.col("event_type") == "purchase", F.col("value")), "price").select("event_id", "price")
 
 
-@query("delta_replay", """WITH e AS (SELECT *, CAST(user_id % 8 AS BIGINT) AS gop, CAST(user_id // 8 AS BIGINT) AS cell FROM events),
-    f AS (SELECT DISTINCT gop, event_id AS frame FROM e WHERE event_type = 'signup'), c AS (SELECT DISTINCT gop, cell FROM e)
-    SELECT f.gop, frame, c.cell, (SELECT arg_max(value, event_id) FROM e WHERE e.gop = f.gop AND e.cell = c.cell AND e.event_id <= f.frame) AS value
-    FROM f JOIN c ON f.gop = c.gop WHERE frame % 50 = 0""")
-def delta_replay(t):
-    rows = t("events").select("event_id", "event_type", "value", (F.col("user_id") % 8).alias("gop"), F.expr("user_id div 8").alias("cell"))
-    frames = rows.filter("event_type = 'signup' and event_id % 50 = 0").select("gop", F.col("event_id").alias("frame"))
-    asked = frames.join(rows.select("gop", "cell").distinct(), "gop").withColumn("key", F.struct("gop", "cell"))
-    writes = rows.select(F.struct("gop", "cell").alias("key"), F.col("event_id").alias("at"), "value")
-    return asof.asof_join(asked, writes, "key", "frame", "at", ["value"]).select("gop", "frame", "cell", "value")
-
-
 @query("delta_replay_whole", """WITH e AS (SELECT *, CAST(user_id % 8 AS BIGINT) AS gop, CAST(user_id // 8 AS BIGINT) AS cell FROM events),
     f AS (SELECT DISTINCT gop, event_id AS frame FROM e WHERE event_type = 'signup'), c AS (SELECT DISTINCT gop, cell FROM e),
     a AS (SELECT f.gop, frame, cell FROM f JOIN c ON f.gop = c.gop)
