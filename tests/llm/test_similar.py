@@ -263,6 +263,55 @@ def plain_smith_waterman(a, b):
     return h.max()
 
 
+@pytest.mark.parametrize(("n", "least"), [(50, 0.9), (55, 0.93), (80, 0.97)])
+def test_functions_agree_on_passages_at_the_stated_similarity(n, least):
+    r, search, found = np.random.default_rng(7), windows.Search(4), 0
+    for _ in range(200):
+        base = r.integers(1, 1 << 62, n).astype(np.uint64)
+        near = base.copy()
+        near[r.choice(n, n // 5, replace=False)] = r.integers(1, 1 << 62, n // 5)
+        names = []
+        for p in (base, near):
+            w = np.concatenate([r.integers(1, 1 << 62, 40), p, r.integers(1, 1 << 62, 40)]).astype(np.uint64)
+            names.append(set(search._windows(w, np.array([len(w)]))[0].tolist()))
+        found += len({k >> 32 & 15 for k in names[0] & names[1]}) >= windows.AGREE
+    assert found >= least * 200
+
+
+def linked(found, every):
+    return roots([(x["doc_id"], x["other_id"]) for x in found], every)
+
+
+def test_all_pairs_that_share_a_passage_are_linked(docs, given_docs):
+    """Against every pair of texts with eight shingles or more in common."""
+    numbers = {}
+    words = {i: np.array([numbers.setdefault(x, len(numbers)) for x in plain_words(t)], np.uint32) for i, t in given_docs}
+    holders, common = defaultdict(set), Counter()
+    for i, w in words.items():
+        for k in range(len(w) - 4):
+            holders[w[k : k + 5].tobytes()].add(i)
+    for v in holders.values():
+        common.update((a, b) for a in v for b in v if a < b)
+    pairs = [p for p, n in common.items() if n >= 8 and windows.passages(words[p[0]], words[p[1]])]
+    root = linked(windows.near_passages(docs).collect(), words)
+    assert len(pairs) > 10 and sum(root[a] == root[b] for a, b in pairs) >= 0.9 * len(pairs)
+
+
+def test_interleaved_groups_that_share_a_phrase(spark):
+    """Pairs of texts with a passage of their own, all with one phrase in common, in any order."""
+    r = random.Random(6)
+    word = lambda: f"w{r.randrange(10**6)}"
+    phrase, rows, pairs = [word() for _ in range(20)], [], []
+    for g in range(60):
+        own = [word() for _ in range(60)]
+        for side in (0, 1):
+            near = [word() if side and k % 12 == 5 else w for k, w in enumerate(own)]
+            rows.append((g + 60 * side, " ".join([word() for _ in range(r.randrange(30))] + phrase + near + [word() for _ in range(20)])))
+        pairs.append((g, g + 60))
+    root = linked(windows.near_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect(), range(120))
+    assert sum(root[a] == root[b] for a, b in pairs) == len(pairs)
+
+
 def test_smith_waterman():
     r = np.random.default_rng(1)
     items = [r.integers(5, 9, r.integers(3, 12)).astype(np.uint64) for _ in range(60)]
