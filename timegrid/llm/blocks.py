@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timegrid.llm.common import TEXTS, batches_of, chunks, drop_staged, new_path, release, staged
+from timegrid.llm.common import TEXTS, batches_of, chunks, drop_path, drop_staged, new_path, release, staged
 
 BLOCK_BYTES = 2 << 20
 #: A document's number: its block's number times this, plus its place there.
@@ -88,8 +88,9 @@ def _sort_bucket(table: pa.Table, kind: str) -> pa.Table:
     return pa.table(cols, names=["bucket", "block", "bits"])
 
 
-def stage(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """(block, doc_ids, sizes, digests, data) of docs as a table bucketed by block, and the bytes of all texts."""
+def stage(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int, Callable[[], None]]:
+    """(block, doc_ids, sizes, digests, data) of docs as a table bucketed by block; the bytes of all texts; and what drops
+    the table once no plan reads it."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "block long, doc_ids array<long>, sizes array<long>, digests array<binary>, data binary"
@@ -100,7 +101,12 @@ def stage(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, i
     with batches_of(spark, TEXTS):
         made.write.bucketBy(parts, "block").option("path", path).option("compression", "zstd").saveAsTable(name)
     blocks = spark.table(name)
-    return blocks, blocks.select(F.explode("sizes").alias("n")).agg(F.sum("n")).first()[0] or 0
+
+    def close() -> None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        drop_path(spark, path)
+
+    return blocks, blocks.select(F.explode("sizes").alias("n")).agg(F.sum("n")).first()[0] or 0, close
 
 
 def copies(blocks: DataFrame, least: int) -> DataFrame:

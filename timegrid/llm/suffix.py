@@ -180,7 +180,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
     """
     if length < PERIOD + 32:
         raise ValueError(f"length must be {PERIOD + 32} or more")
-    blocks, total = stage(docs, block_bytes)
+    blocks, total, _ = stage(docs, block_bytes)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     search = Search(length, max(parts, 1 + total // bucket_rows))
     read = with_answers(blocks.select("block", "doc_ids", "sizes", "data"), marks(copies(blocks, length)))
