@@ -136,9 +136,7 @@ def exchange(blocks: DataFrame, send: Callable, kind: str, into: str) -> DataFra
     """(block, into): what the buckets answer to the names of dtype `kind` that send() yields; staged."""
     sending = blocks.mapInArrow(send, SENT)
     found = sending.groupBy("bucket").applyInArrow(lambda t: _sort_bucket(t, kind), "bucket int, block long, bits binary")
-    found = staged(found.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias(into)), into, rows=BLOCKS)
-    blocks.sparkSession._jvm.System.gc()  # lets Spark's cleaner remove the shuffle files of the buckets just sorted
-    return found
+    return staged(found.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias(into)), into, rows=BLOCKS)
 
 
 def with_answers(blocks: DataFrame, answers: DataFrame) -> DataFrame:

@@ -41,28 +41,39 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
-    """While this holds, at most so many rows go to Python at a time: few if they are long. None: as the session has it."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
+def configured(spark: SparkSession, **values: object) -> Iterator[None]:
+    """While this holds, the session's settings spark.sql.(name, with _ for .) are these; None: as the session has it."""
+    keys = {f"spark.sql.{name.replace('_', '.')}": v for name, v in values.items() if v is not None}
+    before = {k: spark.conf.get(k) for k in keys}
     try:
-        if rows:
-            spark.conf.set(key, min(rows, int(before)) if int(before) > 0 else rows)
+        for k, v in keys.items():
+            spark.conf.set(k, str(v).lower())
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """While this holds, at most so many rows go to Python at a time: few if they are long. None: as the session has it."""
+    most = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    with configured(spark, execution_arrow_maxRecordsPerBatch=rows and (min(rows, most) if most > 0 else rows)):
+        yield
 
 
 #: Rows of texts that go to Python at a time.
 TEXTS = 1000
 
 
-def staged(df: DataFrame, name: str, partition_by: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str, partition_by: Sequence[str] = (), rows: int | None = None, size: int | None = None) -> DataFrame:
     """df, written once as Parquet to the shared folder and read again: lineage ends there, nothing is computed twice.
 
-    rows: how many go to Python at a time meanwhile."""
+    rows, size: how many rows, or about how many bytes, go to Python at a time meanwhile. Shuffle files of the write are
+    removed when it ends, as no later plan can read them."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    with batches_of(spark, rows):
+    clean = {"classic_shuffleDependency_fileCleanup_enabled": True, "execution_arrow_maxBytesPerBatch": size}
+    with batches_of(spark, rows), configured(spark, **clean):
         df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
