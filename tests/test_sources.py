@@ -38,6 +38,33 @@ def test_resync_and_tail():
     assert got and got[-1][1] == rows[-1][0] and got[0][0] in starts
 
 
+def test_resync_passes_false_markers_that_lead_to_chunks():
+    rows, data = made()
+    starts = [r[0] for r in chunks.scan(data)]
+    for k in (1, 2, 150, 298):
+        # a marker whose length leads over k chunks to the next
+        false = bytes([chunks.MARK]) + bytes(6) + starts[k].to_bytes(3, "little") + bytes(2)
+        assert chunks.chains(false + data, 0)
+        assert chunks.resync(false + data, 0) == len(false)
+        assert len(list(chunks.scan(false + data, chunks.resync(false + data, 0)))) == 300
+    payload = os.urandom(4000)
+    whole = chunks.write_chunk(5, 0, payload + b"C" * 500) + data
+    assert chunks.resync(whole, 0) == 0
+
+
+def test_splits_pass_false_markers_that_lead_to_chunks(spark, tmp_path):
+    rows, data = made()
+    starts = [r[0] for r in chunks.scan(data)]
+    # a first chunk whose payload ends with such a marker; the second split begins at that marker
+    false = bytes([chunks.MARK]) + bytes(6) + starts[100].to_bytes(3, "little") + bytes(2)
+    first = chunks.write_chunk(1, 0, b"x" * 1000 + false)
+    (tmp_path / "a.chunks").write_bytes(first + data)
+    spark.dataSource.register(chunks.ChunkSource)
+    got = spark.read.format("chunks").option("path", str(tmp_path)).option("splitBytes", len(first) - len(false)).load()
+    assert got.count() == 301
+    assert got.agg(F.sum("plen")).first()[0] == sum(len(d) for _, _, d in rows) + 1000 + len(false)
+
+
 def test_splits_cover_every_chunk_once(spark, tmp_path):
     rows, data = made()
     for i in range(2):

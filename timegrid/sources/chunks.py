@@ -65,10 +65,27 @@ def chains(data: bytes, at: int, links: int = LINKS) -> bool:
     return at <= len(data)
 
 
+def covers_chain(data: bytes, at: int) -> bool:
+    """Whether chunks that chain up to the end of the chunk at `at` lie within it: then its marker is a false one, whose
+    length happens to lead to a true chunk."""
+    end = at + HEAD + int.from_bytes(data[at + 7 : at + 10], "little")
+    if at + HEAD > len(data) or end > len(data):
+        return False
+    seen = set()  # places whose chains miss the end
+    while 0 <= (at := data.find(MARK, at + 1, end)):
+        k = at
+        while k + HEAD <= end and data[k] == MARK and k not in seen:
+            seen.add(k)
+            k += HEAD + int.from_bytes(data[k + 7 : k + 10], "little")
+        if k == end:
+            return True
+    return False
+
+
 def resync(data: bytes, at: int, links: int = LINKS) -> int | None:
-    """The first place from `at` on where chunks chain."""
+    """The first place from `at` on where chunks chain, but for false markers that cover such chunks."""
     while (at := data.find(MARK, at)) >= 0:
-        if chains(data, at, links):
+        if chains(data, at, links) and not covers_chain(data, at):
             return at
         at += 1
     return None
@@ -152,7 +169,7 @@ class ChunkReader(DataSourceReader):
                     file.seek(at)
                     window = file.read(step + LINKS * (HEAD + MAX_PAYLOAD))
                     rest = at + len(window) == size
-                    found = next((k for k in _marks(window, step) if (chains(window, k) if rest else _chains_on(window, k))), None)
+                    found = next((k for k in _marks(window, step) if (chains(window, k) if rest else _chains_on(window, k)) and not covers_chain(window, k)), None)
                     if found is not None:
                         at += found
                         break
