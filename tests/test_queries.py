@@ -1,6 +1,8 @@
 """Every registered query runs; those with SQL give DuckDB's rows."""
 
 import datetime
+import os
+import shutil
 
 import duckdb
 import pytest
@@ -71,3 +73,18 @@ def test_sliding_windows_round_to_the_nearest_second(spark, tmp_path):
     # just before and at a window's start, halves at its start, before 1970, no time
     con = moments(spark, tmp_path, "2024-01-01 11:59:59.700", "2024-01-01 12:00:00", "2024-01-01 23:59:59.400", "2024-01-01 23:59:59.500", "2024-01-02 11:59:58.500", "1969-12-31 23:00:00", None)
     oracle.compare(QUERIES["sliding_batch"](spark, str(tmp_path)), ORACLE["sliding_batch"], con)
+
+
+def test_listed_files_are_tables(spark, con, tmp_path):
+    # tables as files and as folders of files, below a folder whose own name holds that of the table left out
+    folder = tmp_path / "pages.parquet" / "x"
+    folder.mkdir(parents=True)
+    for i, name in enumerate(sorted(os.listdir(oracle.DATA))):
+        if i % 2:
+            shutil.copy(f"{oracle.DATA}/{name}", folder / name)
+        else:
+            (folder / name).mkdir()
+            for k in range(2):
+                shutil.copy(f"{oracle.DATA}/{name}", folder / name / f"part-{k}.parquet")
+    for path in (str(folder), f"{folder}/", f"file://{folder}", f"file:{folder}"):
+        oracle.compare(QUERIES["listed_files"](spark, path), ORACLE["listed_files"], con)

@@ -329,9 +329,9 @@ ORACLE["stream_segments"] = "SELECT CAST(user_id AS VARCHAR) AS stream, event_id
 
 
 def _listed(spark, sf_dir: str) -> DataFrame:
-    """The Parquet files of the data folder by name, without those of pages."""
-    found = files.list_files(spark, sf_dir, "*.parquet", "pages")
-    return found.select(F.regexp_extract("path", "([a-z]+)[.]parquet", 1).alias("name"))
+    """The tables of the data folder by name, each a Parquet file or a folder of such, without pages."""
+    found = files.list_files(spark, sf_dir, "*.parquet", "pages.parquet")
+    return found.select(F.regexp_extract("below", "^([^/]+)[.]parquet(/|$)", 1).alias("name")).filter("name != ''").distinct()
 
 
 QUERIES["listed_files"] = _listed

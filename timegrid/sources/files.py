@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A path's scheme and host.
+SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
 FORMATS = ("parquet", "orc", "json", "csv", "text", "binaryFile")
 
 
@@ -37,7 +41,12 @@ def write_sorted(df: DataFrame, path: str, *by: str, parts: list[str] | None = N
 
 
 def list_files(spark: SparkSession, path: str, pattern: str, without: str = "") -> DataFrame:
-    """(path, length, modificationTime) of files by name; those whose path holds `without` are left out."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    found = found.select("path", "length", "modificationTime")
-    return found.filter(~F.col("path").contains(without)) if without else found
+    """(path, below, length, modificationTime) of files by name, in folders below the path too; `below` is what the file's
+    path has beyond `path`. Those whose `below` holds `without` are left out."""
+    plain = re.sub(SCHEME, "", path).rstrip("/")
+    # the path without its scheme and host, counted from the end of the folder's own
+    bare = F.regexp_replace("path", SCHEME, "")
+    below = bare.substr(F.locate(plain + "/", bare) + len(plain) + 1, F.length(bare))
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    found = found.select("path", below.alias("below"), "length", "modificationTime")
+    return found.filter(~F.col("below").contains(without)) if without else found
