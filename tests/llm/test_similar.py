@@ -130,6 +130,19 @@ def test_a_large_group_of_near_copies(spark):
     assert got[0] == 300 and len(got) == 101
 
 
+def test_every_pair_of_a_large_bucket_is_compared(spark, monkeypatch):
+    """All texts share a template of 78 % of their words, and pairs at 0.81 share with each other single words beyond it:
+    no sketch tells these from the rest."""
+    monkeypatch.setattr(omh, "TILE", 128, raising=False)
+    r = random.Random(21)
+    word = lambda: f"w{r.randrange(10**6)}"
+    template = [word() for _ in range(156)]
+    rows = [template + [word() for _ in range(44)] for _ in range(600)]
+    rows += [[x if at < 156 or at % 7 == 0 else word() for at, x in enumerate(w)] for w in rows[:30]]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string").repartition(4)
+    assert {x["doc_id"]: x["class_id"] for x in omh.near_copies(df).collect()} == {i: i if i < 600 else i - 600 for i in range(630)}
+
+
 def test_near_copies_among_texts_of_one_template(spark):
     """A third of all rows hold a template of 78 % of their words; pairs at 0.90 among them are found."""
     r = random.Random(12)
