@@ -1,6 +1,10 @@
 """What is learned: accuracy on rows held out, and that only what may be used is used."""
 
 import itertools
+import re
+import sys
+import time
+import unicodedata
 import zlib
 
 import duckdb
@@ -36,6 +40,19 @@ def test_mixture_finds_shares_and_stays_single(spark):
     assert all((got[i]["lang_pred"], got[i]["score"]) == ("und", 0) for i in (3, 4))
 
 
+def test_letters_are_told_fast_and_right():
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))
+    for text in (every, every[:0xD800], "", None, "Straße ½ Ⅷ x²\U00010107y\U0001d7d8 Z\U00010400"):
+        letters = [c if unicodedata.category(c)[0] == "L" else " " for c in (text or "").lower()]
+        assert langid._letters(text).split(" ") == ("".join(letters).split() or [""])
+    plain, times = "some plain words in lines, " * 20_000, []
+    for clean in (langid._letters, lambda t: re.sub(r"[\W\d_]+", " ", t.lower())):
+        start = time.process_time()
+        clean(plain)
+        times.append(time.process_time() - start)
+    assert times[0] < 8 * times[1]
+
+
 def test_em_raises_the_likelihood():
     r = np.random.default_rng(0)
     words = -r.random((50, 3)) * 5

@@ -17,8 +17,11 @@ from timegrid.llm.common import TEXTS, batches_of, chunks
 BITS = 16
 #: Numbers that are no letters and no decimal digits: fractions, Roman numerals, digits in circles and the like.
 NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-#: What is no letter (Unicode category L).
+#: What is no letter (Unicode category L). Characters above U+FFFF in a set are tried one by one, so only texts that hold
+#: some are searched with these.
 NOT_LETTER = re.compile(rf"[\W\d_{NUMBERS}]+")
+NOT_LETTER_BELOW = re.compile(rf"[\W\d_{''.join(c for c in NUMBERS if c <= chr(0xFFFF))}]+")
+ABOVE = re.compile(f"[{chr(0x10000)}-{chr(sys.maxunicode)}]")
 #: Pseudo-counts of a bucket, EM rounds, and nats of log-likelihood that a further language must bring per log(words).
 SMOOTH, ROUNDS, PENALTY = 0.5, 12, 3.0
 UNKNOWN = "und"
@@ -26,12 +29,18 @@ UNKNOWN = "und"
 LANGUAGES = 128
 
 
+def _letters(text: str | None) -> str:
+    """A text's words, runs of letters in lower case, parted by single blanks."""
+    text = (text or "").lower()
+    return (NOT_LETTER if ABOVE.search(text) else NOT_LETTER_BELOW).sub(" ", text).strip()
+
+
 def _grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket of the trigram that starts at each letter or before a word; where words start; words of each text).
 
     A text is its words in lower case, each with a blank before; a trigram may reach over a word's end into a blank.
     """
-    cleaned = [NOT_LETTER.sub(" ", t.lower()).strip() if t else "" for t in texts]
+    cleaned = [_letters(t) for t in texts]
     n_words = np.array([c.count(" ") + 1 if c else 0 for c in cleaned], np.int64)
     code = np.frombuffer((" " + " ".join(c for c in cleaned if c) + "   ").encode("utf-32-le"), "<u4")
     x = code.astype(np.uint32)
