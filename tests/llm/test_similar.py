@@ -143,6 +143,25 @@ def test_every_pair_of_a_large_bucket_is_compared(spark, monkeypatch):
     assert {x["doc_id"]: x["class_id"] for x in omh.near_copies(df).collect()} == {i: i if i < 600 else i - 600 for i in range(630)}
 
 
+def test_bags_spare_unlike_long_texts_and_lose_no_link():
+    """Texts whose words fill few bins alike; among them near copies, and some of words that go beyond a bin's count."""
+    r = np.random.default_rng(3)
+    words = [r.choice(5000, n).astype(np.uint64) for n in (1500, 1520, 1480, 3000, 2900, 1100, 1000, 4090, 4100, 17000) for _ in range(3)]
+    words.append(np.where(r.random(4300) < 0.6, 7, r.choice(5000, 4300)).astype(np.uint64))
+    words += [np.where(r.random(len(w)) < 0.15, 6000 + len(w), w)[: len(w) - len(w) // 50].astype(np.uint64) for w in words]
+    words.sort(key=len)
+    n, ids = np.array([len(w) for w in words], np.int32), np.arange(len(words))
+    bags = [omh.bag_of(omh.mixed(w)) for w in words]
+    zero = np.zeros(len(words), np.int64)
+    rows = (zero, zero, zero, zero, ids, n, ids, np.array(bags, object), omh._coarse(bags))
+    got = {p for batch in omh._pairs(rows, 0.8) for p in zip(*(c.to_pylist() for c in batch.columns), strict=True)}
+    near = [(a, b) for b in range(len(words)) for a in range(b) if omh.edit_similarity(words[a], words[b], 0.8) >= 0.8]
+    assert len(near) >= 31 and set(near) <= got and len(got) < 2 * len(near)
+    alike = [(a, b) for b in range(len(words)) for a in range(b) if n[b] - n[a] <= int(0.2 * n[b])]
+    coarse = [(a, b) for a, b in alike if np.abs(rows[8][a].astype(int) - rows[8][b]).sum() <= 2 * int(0.2 * n[b] + 1e-9) - (n[b] - n[a])]
+    assert len(coarse) > 4 * len(got)  # what BINS bins alone would have aligned
+
+
 def test_near_copies_among_texts_of_one_template(spark):
     """A third of all rows hold a template of 78 % of their words; pairs at 0.90 among them are found."""
     r = random.Random(12)
