@@ -364,6 +364,22 @@ def test_interleaved_groups_that_share_a_phrase(spark):
     assert sum(root[a] == root[b] for a, b in pairs) == len(pairs)
 
 
+def test_passages_that_neither_the_first_text_nor_a_neighbour_resembles(spark):
+    """Two texts share a passage; all others hold its phrases in other orders, so that they have its names and no passage."""
+    r = random.Random(11)
+    word = lambda: f"w{r.randrange(10**6)}"
+    passage = [word() for _ in range(100)]
+    pieces = [passage[k : k + 20] for k in range(0, 100, 10)]
+
+    def mixture():
+        return " ".join(w for p in r.sample(pieces, len(pieces)) for w in [*p, *(word() for _ in range(14))])
+
+    held = lambda: " ".join([*(word() for _ in range(20)), *passage, *(word() for _ in range(20))])
+    texts = [*(mixture() for _ in range(40)), held(), *(mixture() for _ in range(40)), held()]
+    got = windows.near_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
+    assert {(x["doc_id"], x["other_id"]) for x in got} == {(81, 40)}
+
+
 def test_smith_waterman():
     r = np.random.default_rng(1)
     items = [r.integers(5, 9, r.integers(3, 12)).astype(np.uint64) for _ in range(60)]
